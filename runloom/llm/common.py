@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 def parts(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text each."""
     texts = batch.column(batch.schema.get_field_index(column))
-    at, total, sizes = 0, 0, pa.compute.binary_length(texts).to_pylist()
+    at, total, sizes = 0, 0, pc.binary_length(texts).to_pylist()
     for k, n in enumerate(sizes):
         if total and total + (n or 0) > most_bytes:
             yield batch.slice(at, k - at)
