@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -86,3 +87,32 @@ def parts(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> It
         total += n or 0
     if at < len(sizes):
         yield batch.slice(at)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """For input sorted by its first ``keys`` integer columns: columns, and the borders of the keys that are whole in
+    them.  Only the rows of the last key of a batch wait for the next one."""
+    rest = None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now = now if rest is None else [np.concatenate(p) for p in zip(rest, now, strict=True)]
+        if not len(now[0]):
+            continue
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:keys]])) + 1
+        if len(new):
+            yield now, [0, *new.tolist()]
+        rest = [c[new[-1] if len(new) else 0 :] for c in now]
+    if rest is not None:
+        yield rest, [0, len(rest[0])]
+
+
+def dealt(rows: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
+    """rows whose key has company, sorted by it within partitions and preceded by keys, c, d, own.  A key with more than
+    ``most`` rows is split into chunks by the hash of ``item``, and each pair of chunks (c, d) becomes a key of its own,
+    so that any two rows of a key meet in one task and no task needs more than two chunks; own is the row's chunk."""
+    held = rows.groupBy(*keys).agg(F.count("*").alias("chunks")).where("chunks > 1").withColumn("chunks", F.ceil(F.col("chunks") / most).cast("int"))
+    rest = [c for c in rows.columns if c not in keys]
+    own = F.pmod(F.xxhash64(item), F.col("chunks")).cast("int")
+    out = rows.join(held, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    out = out.select(*keys, F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "own", *rest)
+    return out.repartition(*keys, "c", "d").sortWithinPartitions(*keys, "c", "d")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, outliers, packing, ruleclassifier, secrets, simhash
+from . import encoding, outliers, packing, pivots, ruleclassifier, secrets, simhash
 from .common import table
 
 
@@ -30,10 +30,14 @@ def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rule_ensemble, op4_blob_ledger, op5_robust_outliers, op6_simhash_blocks, op7_bpe_transducer, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rule_ensemble, op4_blob_ledger, op5_robust_outliers, op6_simhash_blocks, op7_bpe_transducer, op8_pivot_permutations, op10_packing)}
 
 SQL: dict[str, str] = {"op4_blob_ledger": secrets.sql()}

@@ -84,22 +84,10 @@ def links(reps: DataFrame, bits: int = 3, most: int = 1024) -> DataFrame:
     """(a, b) over ids of reps (fp, id), fp distinct: enough links to connect all that are within the given bits."""
     tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for k, m in enumerate(masks(bits))])
     keyed = reps.where("id IS NOT NULL").select("fp", "id", F.explode(tables).alias("x")).select("x.t", "x.k", "fp", "id")
-    held = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / most).cast("int")
-    rows = keyed.join(held, ["t", "k"]).withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("t", "k", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "own", "fp", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            now = [np.asarray(c) for c in batch.columns]
-            now = now if rest is None else [np.concatenate(p) for p in zip(rest, now, strict=True)]
-            new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1]) | (now[3][1:] != now[3][:-1])) + 1
-            done = int(new[-1]) if len(new) else 0
-            yield table(now, [0, *new.tolist()])
-            rest = [c[done:] for c in now]
-        if rest is not None:
-            yield table(rest, [0, len(rest[0])])
+        for cols, cuts in common.runs(batches, 4):
+            yield table(cols, cuts)
 
     def table(cols: list[np.ndarray], cuts: list[int]) -> pa.RecordBatch:
         a, b = [], []
@@ -115,8 +103,7 @@ def links(reps: DataFrame, bits: int = 3, most: int = 1024) -> DataFrame:
                 a.append(int(ids[x])), b.append(int(ids[y]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = rows.repartition("t", "k", "c", "d").sortWithinPartitions("t", "k", "c", "d")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return common.dealt(keyed, ["t", "k"], "fp", most).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
