@@ -70,6 +70,20 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def place(docs: DataFrame, column: str) -> str:
+    """The name that ``numbered`` gives to a column."""
+    return f"_{docs.columns.index(column)}"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns _0, _1 and on, so that none clashes with what is added; ``named`` undoes it."""
+    return docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[f"_{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """Long texts make Arrow batches large: fewer rows in each."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

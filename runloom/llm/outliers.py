@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textstats import RULE_STATS, statistics
+from .textstats import RULE_STATS, statistics, with_statistics
 
 
 
@@ -124,24 +124,45 @@ def estimates(rows: DataFrame, floors: list[float], share: float = 0.75, steps:
     return current
 
 
-def judge(docs: DataFrame, quantile: float = 0.9999, least: int = 100, share: float = 0.75, steps: int = 6) -> DataFrame:
-    """(doc_id, RULE_STATS, base_failed, distance, kept) of every row of docs (doc_id, text, lang, source).
-
-    distance is null where the row failed the base rules or its group has no estimate."""
+def fit(stats: DataFrame, least: int = 100, share: float = 0.75, steps: int = 6) -> tuple[DataFrame, DataFrame]:
+    """From written statistics (lang, source, RULE_STATS): groups (gl, gs, g) and the estimates of each g."""
     of = features()
-    floors = [f for _, f in of.values()]
-    keys = [F.col(c) for c in ("lang", "source")]
-    stats = statistics(docs).withColumn("base_failed", base_failed())
-    stats = common.staged(stats.select("doc_id", "lang", "source", *RULE_STATS, "base_failed"), "statistics")
-    passed = stats.where("NOT base_failed")
-    one, pooled = F.to_json(F.struct(*keys)), F.to_json(F.struct(keys[0], F.lit(True).alias("pooled")))
+    passed = stats.where(~base_failed())
+    one, pooled = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang", F.lit(True).alias("pooled")))
     counts = passed.groupBy("lang", "source").count()
     groups = counts.withColumn("g", F.when(F.col("count") >= least, one).otherwise(pooled))
     sizes = groups.groupBy("g").agg(F.sum("count").alias("rows")).where(F.col("rows") >= least)
     groups = common.staged(groups.join(sizes, "g").select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "g"), "groups")
+    named = _named(passed, groups).where("g IS NOT NULL").select("g", *[c.alias(n) for n, (c, _) in of.items()])
+    return groups, estimates(named, [f for _, f in of.values()], share, steps)
+
+
+def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
     same = F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs"))
-    named = stats.join(groups, same, "left").drop("gl", "gs").select("*", *[c.alias(n) for n, (c, _) in of.items()])
-    fitted = estimates(named.where("g IS NOT NULL AND NOT base_failed").select("g", *of), floors, share, steps)
-    out = named.join(fitted, "g", "left").withColumn("d", F.when(~F.col("base_failed"), _squared(len(floors))))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d") <= chi2_quantile(quantile, len(floors)), F.lit(True))
-    return out.select("doc_id", *RULE_STATS, "base_failed", F.sqrt("d").alias("distance"), kept.alias("kept"))
+    return rows.join(groups, same, "left").drop("gl", "gs")
+
+
+def verdict(rows: DataFrame, groups: DataFrame, fitted: DataFrame, quantile: float = 0.9999) -> DataFrame:
+    """rows (lang, source, RULE_STATS, ...) with base_failed, distance and kept."""
+    of = features()
+    named = _named(rows, groups).select("*", *[c.alias(n) for n, (c, _) in of.items()], base_failed().alias("base_failed"))
+    out = named.join(fitted, "g", "left").withColumn("d", F.when(~F.col("base_failed"), _squared(len(of))))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d") <= chi2_quantile(quantile, len(of)), F.lit(True))
+    return out.select(*rows.columns, "base_failed", F.sqrt("d").alias("distance"), kept.alias("kept"))
+
+
+def judge(docs: DataFrame, quantile: float = 0.9999, least: int = 100, share: float = 0.75, steps: int = 6) -> DataFrame:
+    """(doc_id, RULE_STATS, base_failed, distance, kept) of every row of docs (doc_id, text, lang, source).
+
+    distance is null where the row failed the base rules or its group has no estimate."""
+    stats = common.staged(statistics(docs), "statistics")
+    groups, fitted = fit(stats, least, share, steps)
+    return verdict(stats, groups, fitted, quantile).select("doc_id", *RULE_STATS, "base_failed", "distance", "kept")
+
+
+def keep(docs: DataFrame, quantile: float = 0.9999, least: int = 100) -> DataFrame:
+    """The rows of docs that ``judge`` keeps, with all their columns."""
+    groups, fitted = fit(common.staged(statistics(docs), "statistics"), least)
+    rows = common.numbered(docs).select("*", F.col(common.place(docs, "lang")).cast("string").alias("lang"), F.col(common.place(docs, "source")).cast("string").alias("source"))
+    judged = verdict(with_statistics(rows, common.place(docs, "text"), keep_text=True), groups, fitted, quantile)
+    return common.named(judged.where("kept"), docs)

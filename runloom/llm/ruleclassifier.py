@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textstats import statistics
+from . import common
+from .textstats import statistics, with_statistics
 
 
 def features() -> dict[str, Column]:
@@ -185,3 +186,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 20_000, threshold: float = 0.7) -> DataFrame:
     return score(docs, train(docs, labels, most), threshold)
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that are scored at least the threshold, with all their columns."""
+    rows = with_statistics(common.numbered(docs), common.place(docs, "text"), more=True, keep_text=True)
+    return common.named(rows.select("*", *[c.alias(n) for n, c in features().items()]).where(model.score() >= threshold), docs)

@@ -151,6 +151,28 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...
     return report(docs, ledger, rules)
 
 
+def redact(docs: DataFrame, mark: str = "<secret>", ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with every finding, overlapping ones together, replaced by ``mark``; n_chars, if docs has it, follows."""
+    ledger = Ledger(docs.sparkSession, ledger_path or common.new_path(docs.sparkSession, "ledger"))
+    ledger.update(versions(docs), rules)
+    found = ledger.findings().where(F.col("rule").isin([r.key for r in rules])).select("blob", "start", "stop").distinct()
+    order = Window.partitionBy("blob").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    joined = marked.withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("blob", "n").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    of_blob = joined.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    text = F.col(common.place(docs, "text"))
+    rows = common.numbered(docs).withColumn("blob", F.sha2(F.coalesce(text, F.lit("")), 256)).join(of_blob.hint("shuffle_hash"), "blob", "left")
+    before = F.transform("cuts", lambda c, i: text.substr(F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["stop"]) + 1, c["start"] - F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["stop"])))
+    last = F.element_at("cuts", -1)["stop"]
+    clean = F.concat(F.array_join(before, mark), F.lit(mark), text.substr(last + 1, F.length(text)))
+    rows = rows.withColumn(common.place(docs, "text"), F.when(F.col("cuts").isNull(), text).otherwise(clean))
+    if "n_chars" in docs.columns:
+        n = common.place(docs, "n_chars")
+        rows = rows.withColumn(n, F.when(F.col("cuts").isNull(), F.col(n)).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
+    return common.named(rows, docs)
+
+
 def sql() -> str:
     """The same report over the table documents, for DuckDB."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"

@@ -16,9 +16,10 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -106,12 +107,41 @@ def links(reps: DataFrame, bits: int = 3, most: int = 1024) -> DataFrame:
     return common.dealt(keyed, ["t", "k"], "fp", most).mapInArrow(run, "a long, b long").distinct()
 
 
+def _grouped(prints: DataFrame, bits: int) -> DataFrame:
+    """(fp, id, component_id) of every distinct fingerprint; id is its least document."""
+    reps = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+    found = components(links(reps, bits)).withColumnRenamed("component", "linked")
+    return reps.join(found, "id", "left").select("fp", "id", F.coalesce("linked", "id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept) of every row; component_id is the least id that links reach; kept is
     true on the row whose id that is."""
     prints = common.staged(fingerprints(docs, width), "fingerprints")
-    reps = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    found = components(links(reps, bits)).withColumnRenamed("component", "linked")
-    by_print = reps.join(found, "id", "left").select("fp", F.coalesce("linked", "id").alias("component_id"))
-    out = prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = prints.join(_grouped(prints, bits).drop("id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
+    """One row of docs for each component, with all its columns: that of the least id, one of its repeats.  Rows
+    without an id stay, one for each fingerprint, if no row with an id has it."""
+    prints = common.staged(fingerprints(docs, width), "fingerprints")
+    keepers = _grouped(prints, bits).where("id IS NULL OR id = component_id").select(F.col("id").alias("keeper"))
+    own, text = common.place(docs, "doc_id"), common.place(docs, "text")
+    rows = common.numbered(docs)
+    chosen = rows.where(F.col(own).isNotNull()).join(keepers.where("keeper IS NOT NULL").distinct().hint("shuffle_hash"), F.col(own).cast("long") == F.col("keeper")).drop("keeper")
+    first = Window.partitionBy(own).orderBy(F.xxhash64(text), text)
+    chosen = chosen.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    lost = rows.where(F.col(own).isNull())
+    alone = common.staged(prints.groupBy("fp").agg(F.max("doc_id").alias("id")).where("id IS NULL").select("fp"), "alone")
+    marked = lost.withColumn("fp", _fingerprint_column(width)(text)).join(alone, "fp", "left_semi")
+    marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64(text), text))).where("nth = 1").drop("nth", "fp")
+    return common.named(chosen.unionByName(marked), docs)
+
+
+def _fingerprint_column(width: int):
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint((t or "").encode(), width) for t in texts], np.uint64).view(np.int64))
+
+    return of

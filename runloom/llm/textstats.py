@@ -9,6 +9,7 @@ from operator import eq
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -64,22 +65,29 @@ def more_stats(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     )
 
 
-def statistics(docs: DataFrame, more: bool = False) -> DataFrame:
-    """(doc_id, RULE_STATS and, if asked for, MORE_STATS) of every row; null texts are empty.  A column named
-    lang or source, if docs has it, stays as text."""
-    keys = [c for c in ("lang", "source") if c in docs.columns]
-    names = [*RULE_STATS, *(MORE_STATS if more else ())]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("string").alias(c) for c in keys])
+def with_statistics(rows: DataFrame, text: str = "text", more: bool = False, keep_text: bool = False) -> DataFrame:
+    """rows, whose column names differ from each other and from the statistics', with RULE_STATS (and MORE_STATS) of
+    the text column; null texts are empty."""
+    names, at = [*RULE_STATS, *(MORE_STATS if more else ())], rows.columns.index(text)
+    kept = [k for k in range(len(rows.columns)) if keep_text or k != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.parts(batch, "text"):
+            for part in common.parts(batch, text):
                 out = []
-                for t in part.column(1):
-                    text = t.as_buffer().to_pybytes()
-                    words = text.split()
-                    out.append(rule_stats(text, words) + (more_stats(text, words) if more else ()))
+                for t in part.column(at):
+                    data = t.as_buffer().to_pybytes() if t.is_valid else b""
+                    words = data.split()
+                    out.append(rule_stats(data, words) + (more_stats(data, words) if more else ()))
                 cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[part.column(2 + k) for k in range(len(keys))], *cols], ["doc_id", *keys, *names])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], *cols], [*[part.schema.names[k] for k in kept], *names])
+
+    schema = T.StructType([rows.schema[k] for k in kept] + [T.StructField(n, T.LongType()) for n in names])
+    return common.small_batches(rows).mapInArrow(run, schema)
 
-    return common.small_batches(rows).mapInArrow(run, ", ".join(["doc_id long", *[f"{k} string" for k in keys], *[f"{n} long" for n in names]]))
+
+def statistics(docs: DataFrame, more: bool = False) -> DataFrame:
+    """(doc_id, RULE_STATS and, if asked for, MORE_STATS) of every row.  A column named lang or source, if docs has it,
+    stays as text."""
+    keys = [c for c in ("lang", "source") if c in docs.columns]
+    return with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *[F.col(c).cast("string").alias(c) for c in keys]), more=more)
