@@ -109,7 +109,8 @@ def estimates(rows: DataFrame, floors: list[float], share: float = 0.75, steps:
     current = common.staged(start, "estimate")
     for _ in range(steps):
         near = rows.join(current.drop("logdet"), "g").withColumn("d", _squared(p))
-        cut = near.groupBy("g").agg(F.percentile_approx("d", share, 10_000).alias("cut"))
+        # Written, so that its size is known and the join with all rows need not deal them out by group.
+        cut = common.staged(near.groupBy("g").agg(F.percentile_approx("d", share, 10_000).alias("cut")), "cut")
         core = near.join(cut, "g").where("d <= cut")
         about = lambda j: F.col(f"x{j}") - F.col(f"m{j}")
         sums = core.groupBy("g").agg(
