@@ -465,8 +465,9 @@ def trie_parens(spark, d):
 
 @query(f"WITH {TRIE} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM u) AS strings, (SELECT CAST(sum(length(string)) AS BIGINT) FROM u) AS total, (SELECT CAST(max(length(string)) AS BIGINT) FROM u) AS longest")
 def trie_stats(spark, d):
-    own = urls(spark, d).agg(F.count("*").alias("strings"), F.sum(F.length("string")).alias("total"), F.max(F.length("string")).cast("long").alias("longest"))
-    return url_nodes(spark, d).agg(F.count("*").alias("nodes")).crossJoin(own)  # one row each
+    size = F.length("string").cast("long")
+    both = url_nodes(spark, d).select(F.lit(1).alias("node"), F.lit(None).cast("long").alias("size")).union(urls(spark, d).select(F.lit(None).cast("int"), size))
+    return both.agg(F.count("node").alias("nodes"), F.count("size").alias("strings"), F.sum("size").alias("total"), F.max("size").alias("longest"))
 
 
 @query(f"WITH {TRIE}, {EDGES}, dg AS (SELECT nodes.node_id, depth, count(child_id) AS o FROM nodes LEFT JOIN edges ON edges.node_id = nodes.node_id GROUP BY ALL) SELECT count(*) AS nodes, count(*) FILTER (o > 1) AS branching, count(*) FILTER (o = 1 AND depth > 0) AS chains, count(*) FILTER (o <> 1 OR depth = 0) AS kept FROM dg")
@@ -489,7 +490,9 @@ def mp_search(spark, d):
 @query(f"WITH {FOUND} SELECT (SELECT count(*) FROM hits) AS found, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS symbols")
 def mp_search_stats(spark, d):
     blocks = doc_blocks(spark, d)
-    return S.search(blocks, patterns(spark, d)).agg(F.count("*").alias("found")).crossJoin(blocks.agg(F.sum(F.length("text")).alias("symbols")))  # one row each
+    hits = S.search(blocks, patterns(spark, d)).select(F.lit(1).alias("hit"), F.lit(None).cast("long").alias("size"))
+    both = hits.union(blocks.select(F.lit(None).cast("int"), F.length("text").cast("long")))
+    return both.agg(F.count("hit").alias("found"), F.sum("size").alias("symbols"))
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS end_pos, CAST(NULL AS BIGINT) AS record, CAST(NULL AS VARCHAR) AS side WHERE false")
