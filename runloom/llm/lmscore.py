@@ -97,15 +97,14 @@ def model(counted: DataFrame, vocabulary: int) -> DataFrame:
     c = counted.select("key", F.shiftright("key", SHIFT).alias("u"), F.col("key").bitwiseAND((1 << SHIFT) - 1).alias("v"), F.col("background").alias("b"), F.col("target").alias("t"))
     context = c.groupBy("u").agg(*[f(x).alias(f"{x}_{n}") for x in "bt" for n, f in (("all", F.sum), ("kinds", lambda x: F.count_if(F.col(x) > 0)))])
     single = c.groupBy("v").agg(F.sum("b").alias("b_one"), F.sum("t").alias("t_one"))
-    whole = single.agg(F.sum("b_one").alias("b_whole"), F.sum("t_one").alias("t_whole"))
+    whole = c.agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
 
     def loss(x: str):
-        one = (F.col(f"{x}_one") + 1) / (F.col(f"{x}_whole") + vocabulary)
+        one = (F.col(f"{x}_one") + 1) / ((whole[x] or 0) + vocabulary)
         kinds = F.col(f"{x}_kinds")
         return F.when(kinds == 0, -F.log(one)).otherwise(-F.log((F.col(x) + kinds * one) / (F.col(f"{x}_all") + kinds)))
 
-    # One row of sums, whatever the corpus.
-    return c.join(context, "u").join(single, "v").crossJoin(F.broadcast(whole)).select("key", loss("t").alias("target"), loss("b").alias("background"))
+    return c.join(context, "u").join(single, "v").select("key", loss("t").alias("target"), loss("b").alias("background"))
 
 
 def _by_arrays(rows: DataFrame, losses: DataFrame, start: int) -> DataFrame:

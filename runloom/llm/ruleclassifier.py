@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, label: str = "
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
     of = features()
     rows = statistics(texts, more=True).select("doc_id", *[c.cast("double").alias(n) for n, c in of.items()]).join(F.broadcast(sample), "doc_id")
-    got = rows.orderBy("doc_id", *of).toPandas()
+    got = rows.toPandas().sort_values(["doc_id", *of])
     return fit({n: got[n].to_numpy(float) for n in of}, (got["y"].to_numpy(int) > 0).astype(float))
 
 
