@@ -357,15 +357,33 @@ class WordBPE:
         return next(iter(self.encode_all(pa.array([text], pa.string()))))
 
     def encode_all(self, texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit integers; works through a few megabytes at a time."""
+        """The ids of each text, as unsigned 32-bit integers; works through a few megabytes at a time.  A longer text is
+        read in pieces that end before a space or line feed, over which no word goes."""
         texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         at = 0
         while at < len(texts):
+            if offsets[at + 1] - offsets[at] > 2 * most_bytes:
+                yield np.concatenate([ids for piece in self._pieces(texts, offsets, at, most_bytes) for ids in piece])
+                at += 1
+                continue
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
             yield from self._encode_part(texts.slice(at, end - at), offsets[at : end + 1])
             at = end
 
+    def _pieces(self, texts: pa.Array, offsets: np.ndarray, at: int, size: int) -> Iterator[list[np.ndarray]]:
+        data, low, end = memoryview(texts.buffers()[2]), int(offsets[at]), int(offsets[at + 1])
+        while low < end:
+            high = end
+            for start in range(low + size, end, size):
+                blank = [x for x in (bytes(data[start : start + size]).find(c) for c in (b" ", b"\n")) if x >= 0]
+                if blank:
+                    high = min(end, start + min(blank))
+                    break
+            piece = pa.array([bytes(data[low:high])], pa.binary()).cast(pa.large_string())
+            yield self._encode_part(piece, np.frombuffer(piece.buffers()[1], np.int64)[:2])
+            low = high
+
     def _encode_part(self, texts: pa.Array, offsets: np.ndarray) -> list[np.ndarray]:
         data = texts.buffers()[2]
         raw = bytes(memoryview(data)[int(offsets[0]) : int(offsets[-1])]) if data is not None else b""

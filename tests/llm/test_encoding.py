@@ -28,6 +28,13 @@ def test_ids_are_the_library_s(coder):
         assert ids.tolist() == library(text), text[:40]
 
 
+def test_pieces_of_long_texts_give_the_same_ids():
+    long = " ".join(TEXTS) + "\n" + "wordwithoutanyspace" * 30 + " end  "
+    for size in (7, 50, 300):
+        for coder in (CODER, CORE):
+            assert [x.tolist() for x in coder.encode_all(pa.array(["a b", long, None, "c"]), size)] == [library(t) for t in ("a b", long, "", "c")]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=40), st.text("ab'st rel.1é", max_size=40)), max_size=4))
 def test_ids_of_any_texts(texts):
