@@ -62,6 +62,30 @@ l1 AS (SELECT doc_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END A
 li AS (SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS line_no, unnest(p) AS line FROM l1 WHERE len(p) > 0)"""
 HI = "CAST(length(bin({0})) - 1 AS BIGINT)"
 
+#: The order with the fewest edges among the first 40: no later one has fewer once all its k-mers are distinct nodes.
+BEST = f"""{ROWS}, {LF},
+v AS (SELECT block, k, substr(t || t, i, k) AS m, count(*) AS c FROM (SELECT *, unnest(generate_series(1, 41)) AS k FROM ps) WHERE n >= k - 1 GROUP BY ALL),
+f AS (SELECT w.block, w.k - 1 AS k, sum(w.c - 1) AS fused FROM v w JOIN v p ON p.block = w.block AND p.k = w.k - 1 AND p.m = left(w.m, w.k - 1) AND p.c = w.c JOIN v s ON s.block = w.block AND s.k = w.k - 1 AND s.m = right(w.m, w.k - 1) AND s.c = w.c WHERE w.c > 1 GROUP BY ALL),
+be AS (SELECT tx.block, n, CASE WHEN max(fused) > 0 THEN arg_max(k, fused * 100 - k) ELSE 1 END AS k, n - coalesce(max(fused), 0) AS edges FROM tx LEFT JOIN f ON f.block = tx.block GROUP BY tx.block, n)"""
+INDEX = f"""{BEST},
+km AS (SELECT lf.block, lf.row, lf.sym, lf.lf, substr(t || t, bw.sa + 1, be.k) AS m FROM lf JOIN bw ON bw.block = lf.block AND bw.row = lf.row JOIN tx ON tx.block = lf.block JOIN be ON be.block = lf.block),
+bo AS (SELECT *, CAST(CASE WHEN lag(m) OVER (PARTITION BY block ORDER BY row) = m THEN 0 ELSE 1 END AS BIGINT) AS bound FROM km),
+gr AS (SELECT block, m, min(row) AS lo, max(row) AS up, count(DISTINCT sym) AS kinds, min(lf) AS lo_to, max(lf) AS up_to FROM bo GROUP BY ALL),
+fu AS (SELECT a.* FROM gr a JOIN gr b ON b.block = a.block AND b.lo = a.lo_to AND b.up = a.up_to WHERE a.up > a.lo AND a.kinds = 1 AND a.up_to - a.lo_to = a.up - a.lo),
+ix AS (SELECT bo.block, bo.row, bo.sym, bound, CAST(1 - count(i.lo) AS BIGINT) AS "inner", CAST(1 - count(o.lo) AS BIGINT) AS "outer" FROM bo
+       LEFT JOIN fu i ON i.block = bo.block AND bo.row > i.lo AND bo.row <= i.up LEFT JOIN fu o ON o.block = bo.block AND bo.row > o.lo_to AND bo.row <= o.up_to GROUP BY ALL),
+ia AS (SELECT block, sym, "outer", row_number() OVER (PARTITION BY block ORDER BY row) - 1 AS pos FROM ix WHERE "inner" = 1),
+ib AS (SELECT block, "inner", row_number() OVER (PARTITION BY block ORDER BY row) - 1 AS pos FROM ix WHERE "outer" = 1),
+ti AS (SELECT ia.block, ia.pos, ia.sym, ia."outer", ib."inner" FROM ia JOIN ib ON ib.block = ia.block AND ib.pos = ia.pos)"""
+AT = "JOIN mr l ON l.block = c.block AND l.row = c.x JOIN rt r ON r.block = l.block AND r.run_id = l.run_id WHERE c.x + c.h <= r.start + r.height"
+CHAINS = f"""{ROWS}, {LF}, {RUNS},
+ch AS (SELECT block, run_id, height AS h, 1 AS step, lf_start AS x FROM rt WHERE height >= 2 UNION ALL SELECT c.block, c.run_id, c.h, c.step + 1, l.lf FROM ch c {AT}),
+cc AS (SELECT c.block, c.run_id, c.h, c.step, r.run_id AS at, r.height AS hh FROM ch c {AT}),
+la AS (SELECT block, run_id, h, max(step) FILTER (hh = h) AS last FROM cc GROUP BY ALL HAVING count(*) FILTER (hh = h) > 0),
+co AS (SELECT cc.*, last FROM cc JOIN la ON la.block = cc.block AND la.run_id = cc.run_id WHERE step <= last),
+kc AS (SELECT * FROM co WHERE NOT EXISTS (SELECT 1 FROM co o WHERE o.block = co.block AND o.at = co.run_id AND o.hh = o.h)),
+iv AS (SELECT block, run_id AS run, h AS height, CAST(any_value(last) AS BIGINT) AS columns, CAST(sum({HI.format("hh")} - {HI.format("(hh - h + 1)")}) - {HI.format("h")} AS BIGINT) AS rating FROM kc GROUP BY block, run_id, h)"""
+
 
 # Sources
 
@@ -328,6 +352,10 @@ def rle_len(spark, d):
     return Y.rle(short_bwt(spark, d))
 
 
+WEIGHED = f"""{CHAINS}, {RLE},
+wi AS (SELECT iv.*, runs, tall, CASE WHEN rc > 0 THEN 1 + log2(1 + runs / rc) ELSE 0 END AS weight, row_number() OVER (PARTITION BY iv.block ORDER BY rating DESC, run) AS n, count(*) OVER (PARTITION BY iv.block) AS many FROM iv JOIN rl ON rl.block = iv.block)"""
+
+
 @query(f"WITH {ROWS}, x AS (SELECT block, row AS idx FROM bw WHERE sym = chr(1)) SELECT bw.block, row, CASE WHEN row < idx THEN row WHEN row > idx THEN row - 1 END AS indexed FROM bw JOIN x ON x.block = bw.block")
 def idx_mapping(spark, d):
     rows = short_bwt(spark, d)
@@ -378,17 +406,17 @@ def mtf_roundtrip(spark, d):
 # Compacted index
 
 
-@query()
+@query(f'WITH {INDEX} SELECT block, row, bound, "inner", "outer" FROM ix')
 def prefix_intervals(spark, d):
     return P.index_rows(short_blocks(spark, d))
 
 
-@query()
+@query(f'WITH {INDEX} SELECT block, pos, sym, "outer", "inner" FROM ti')
 def tfm_index(spark, d):
     return P.fused_index(short_blocks(spark, d))
 
 
-@query()
+@query(f'WITH {INDEX} SELECT block, pos, 2 * "outer" + "inner" AS aux, "outer", "inner" FROM ti')
 def tfm_aux_pack(spark, d):
     aux = (2 * F.col("outer") + F.col("inner")).alias("aux")
     return P.fused_index(short_blocks(spark, d)).select("block", "pos", aux, F.shiftright(aux, 1).alias("outer"), aux.bitwiseAND(1).alias("inner"))
@@ -399,8 +427,13 @@ def tfm_invert(spark, d):
     return P.index_inverse(short_blocks(spark, d))
 
 
-@query()
+@query(f"WITH {BEST} SELECT block, n, CAST(k AS BIGINT) AS k, CAST(edges AS BIGINT) AS symbols FROM be")
 def tfm_stats(spark, d):
+    return P.index_stats(short_blocks(spark, d))
+
+
+@query()
+def tfm_stats_documents(spark, d):
     return P.index_stats(doc_blocks(spark, d))
 
 
@@ -509,19 +542,24 @@ def mp_missing(spark, d):
 # Plans, fused transforms and codecs
 
 
-@query()
+@query(f"WITH RECURSIVE {CHAINS} SELECT block, run, height, columns FROM iv")
 def prefix_interval_chains(spark, d):
-    return P.chains(doc_blocks(spark, d)).select("block", "run", "height", "columns")
+    return P.chains(short_blocks(spark, d)).select("block", "run", "height", "columns")
 
 
-@query()
+@query(f"WITH RECURSIVE {CHAINS} SELECT block, run, rating FROM iv")
 def interval_rating(spark, d):
-    return P.chains(doc_blocks(spark, d)).select("block", "run", "rating")
+    return P.chains(short_blocks(spark, d)).select("block", "run", "rating")
 
 
-@query()
+@query(f'WITH RECURSIVE {CHAINS} SELECT DISTINCT block, run_id AS run, kc.at AS "inner", hh AS inner_height FROM kc WHERE hh > h')
 def overlap_graph(spark, d):
-    return P.overlaps(doc_blocks(spark, d))
+    return P.overlaps(short_blocks(spark, d))
+
+
+@query()
+def interval_rating_documents(spark, d):
+    return P.chains(doc_blocks(spark, d))
 
 
 @query(
@@ -536,20 +574,44 @@ def cost_model(spark, d):
     return base.select("block", t.cast("long").alias("t"), F.floor(t * weight + 0.5).cast("long").alias("benefit"), F.round(cost, 6).alias("cost"))
 
 
-def _planned(strategy: str):
-    def run(spark, d):
-        return P.plans(doc_blocks(spark, d), (strategy,)).drop("strategy")
+@query("SELECT CAST(NULL AS BIGINT) AS block, CAST(NULL AS BIGINT) AS place, CAST(NULL AS BIGINT) AS run, CAST(NULL AS BIGINT) AS rating WHERE false")
+def plan_none(spark, d):
+    return P.plans(short_blocks(spark, d), ("none",)).drop("strategy")
 
-    return run
 
+MOST = f"""mp AS (SELECT *, least({HI.format("greatest(tall, 1)")} + 1, greatest(0, CAST(trunc((rating * weight - 2) / 4) AS BIGINT))) AS p FROM wi),
+mt AS (SELECT *, CASE WHEN weight > 0 THEN trunc(greatest(0, (tall + 1) // (pow(2, p) + 2) - 0.5)) ELSE 0 END AS mt FROM mp),
+mo AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY mt DESC) AS k FROM mt), tp AS (SELECT block, max(k) FILTER (mt >= k) AS top FROM mo GROUP BY block)"""
 
-@query("SELECT CAST(NULL AS BIGINT) AS block, CAST(NULL AS BIGINT) AS place, CAST(NULL AS BIGINT) AS run, CAST(NULL AS BIGINT) AS rating WHERE false")
-def plan_none(spark, d):
-    return _planned("none")(spark, d)
 
+@query(f"WITH RECURSIVE {WEIGHED}, {MOST} SELECT mt.block, row_number() OVER (PARTITION BY mt.block ORDER BY rating DESC, run) - 1 AS place, run, rating FROM mt JOIN tp ON tp.block = mt.block WHERE mt >= top")
+def plan_hirsch(spark, d):
+    return P.plans(short_blocks(spark, d), ("hirsch",)).drop("strategy")
+
+
+@query(
+    f"""WITH RECURSIVE {WEIGHED}, ru AS (SELECT *, sum(rating) OVER (PARTITION BY block ORDER BY n) AS s FROM wi),
+ga AS (SELECT *, floor(s * weight + 0.5) - CASE WHEN tall + 1 >= 4 * n + 2 THEN (n + 0.5) * (6 + 4 * log2((tall + 1) / (2 * n + 1) - 1)) ELSE 6 * (n + 0.5) END AS gain FROM ru WHERE weight > 0),
+gb AS (SELECT block, min(n) AS t FROM ga WHERE gain > 0 AND gain = (SELECT max(gain) FROM ga g WHERE g.block = ga.block) GROUP BY block)
+SELECT ga.block, n - 1 AS place, run, rating FROM ga JOIN gb ON gb.block = ga.block WHERE n <= t"""
+)
+def plan_greedy(spark, d):
+    return P.plans(short_blocks(spark, d), ("greedy",)).drop("strategy")
 
-for _name, _strategy in {"plan_hirsch": "hirsch", "plan_greedy": "greedy", "plan_greedy_update": "update", "plan_bestp": "best10"}.items():
-    QUERIES[_name] = _planned(_strategy)
+
+@query(f"WITH RECURSIVE {WEIGHED} SELECT block, n - 1 AS place, run, rating FROM wi WHERE n <= many * 50 // 100")
+def plan_bestp(spark, d):
+    return P.plans(short_blocks(spark, d), ("best50",)).drop("strategy")
+
+
+@query()
+def plan_greedy_update(spark, d):
+    return P.plans(doc_blocks(spark, d), ("update",)).drop("strategy")
+
+
+@query()
+def plans_documents(spark, d):
+    return P.plans(doc_blocks(spark, d), ("hirsch", "greedy", "best10"))
 
 
 @query()
