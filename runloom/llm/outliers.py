@@ -35,7 +35,7 @@ def features() -> dict[str, tuple[Column, float]]:
     return {
         "x0": (F.log(n), 1.0),
         "x1": (F.col("word_chars") / n, 0.25),
-        "x2": (F.sqrt(F.col("n_symbols") / n), 0.1),
+        "x2": (F.sqrt(F.col("n_symbols") / n), 0.08),
         "x3": (F.sqrt(F.col("n_dup_lines") / n), 0.08),
         "x4": (F.sqrt(F.col("n_repeat_words") / n), 0.2),
     }
@@ -143,7 +143,7 @@ def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, same, "left").drop("gl", "gs")
 
 
-def verdict(rows: DataFrame, groups: DataFrame, fitted: DataFrame, quantile: float = 0.9999) -> DataFrame:
+def verdict(rows: DataFrame, groups: DataFrame, fitted: DataFrame, quantile: float = 0.999999) -> DataFrame:
     """rows (lang, source, RULE_STATS, ...) with base_failed, distance and kept."""
     of = features()
     named = _named(rows, groups).select("*", *[c.alias(n) for n, (c, _) in of.items()], base_failed().alias("base_failed"))
@@ -152,7 +152,7 @@ def verdict(rows: DataFrame, groups: DataFrame, fitted: DataFrame, quantile: flo
     return out.select(*rows.columns, "base_failed", F.sqrt("d").alias("distance"), kept.alias("kept"))
 
 
-def judge(docs: DataFrame, quantile: float = 0.9999, least: int = 100, share: float = 0.75, steps: int = 6) -> DataFrame:
+def judge(docs: DataFrame, quantile: float = 0.999999, least: int = 100, share: float = 0.75, steps: int = 6) -> DataFrame:
     """(doc_id, RULE_STATS, base_failed, distance, kept) of every row of docs (doc_id, text, lang, source).
 
     distance is null where the row failed the base rules or its group has no estimate."""
@@ -161,7 +161,7 @@ def judge(docs: DataFrame, quantile: float = 0.9999, least: int = 100, share: fl
     return verdict(stats, groups, fitted, quantile).select("doc_id", *RULE_STATS, "base_failed", "distance", "kept")
 
 
-def keep(docs: DataFrame, quantile: float = 0.9999, least: int = 100) -> DataFrame:
+def keep(docs: DataFrame, quantile: float = 0.999999, least: int = 100) -> DataFrame:
     """The rows of docs that ``judge`` keeps, with all their columns."""
     groups, fitted = fit(common.staged(statistics(docs), "statistics"), least)
     rows = common.numbered(docs).select("*", F.col(common.place(docs, "lang")).cast("string").alias("lang"), F.col(common.place(docs, "source")).cast("string").alias("source"))
