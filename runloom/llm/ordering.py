@@ -137,7 +137,10 @@ def materialise(docs: DataFrame, out: str, key: int = 20240229, length: int = 20
 
             def finish():
                 file.close()
-                fs.move(name, f"{base}/shard-{now:08d}.bin")
+                final = f"{base}/shard-{now:08d}.bin"
+                if fs.get_file_info(final).type != pafs.FileType.NotFound:
+                    fs.delete_file(final)
+                fs.move(name, final)
 
             for b in batches:
                 for shard, blob in zip(b.column(1).to_pylist(), b.column(6).to_pylist(), strict=True):
@@ -157,6 +160,9 @@ def materialise(docs: DataFrame, out: str, key: int = 20240229, length: int = 20
         done = common.staged(ranged.mapInArrow(write, f"slot long, shard long, {fields}"), "slots")
     fs, base = _store(out)
     fs.create_dir(base, recursive=True)
+    for left in fs.get_file_info(pafs.FileSelector(base)):
+        if left.base_name.startswith("_"):
+            fs.delete_file(left.path)
     with fs.open_output_stream(f"{base}/manifest.json") as f:
         f.write(json.dumps({"sequences": total, "per_shard": per_shard, "stride": stride, "length": length, "width": width, "key": key}).encode())
     return done.select("slot", "shard", ((F.col("slot") % per_shard) * stride).alias("byte_offset"), "sequence", "n_tokens", "crc32", "first_doc")
