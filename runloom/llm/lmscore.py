@@ -139,7 +139,7 @@ def _by_join(rows: DataFrame, losses: DataFrame, start: int) -> DataFrame:
     return rows.select("row", "doc_id", "n_tokens").join(sums, "row", "left").select("doc_id", "n_tokens", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("b", F.lit(0.0)).alias("b"))
 
 
-def score(docs: DataFrame, target_ids: DataFrame, path: str | None = None, vocabulary: int = 49408, most_broadcast: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, path: str | None = None, vocabulary: int = 49408, most_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score) of every row of docs; losses are means per token.
 
     The target corpus is the documents whose ids are in target_ids (doc_id), the background all documents."""
