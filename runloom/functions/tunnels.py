@@ -206,7 +206,7 @@ def kmer_bits(x: np.ndarray, sa: np.ndarray, last: np.ndarray, k: int) -> tuple[
 @dataclass
 class Fused:
     """A transform without what fused intervals make redundant: symbols where inner is 1, outer bits of those rows, and
-    inner bits of rows where outer is 1."""
+    inner bits of rows where outer is 1.  length counts the sentinel; 0 if it is not known."""
 
     symbols: np.ndarray
     outer: np.ndarray
@@ -227,8 +227,10 @@ class Fused:
         wide_in = np.diff(np.append(enters, len(self.inner))) > 1
         wide_out = np.diff(np.append(leaves, len(self.outer))) > 1
         symbols, out, at, place = self.symbols.tolist(), [], 0, 0
-        for _ in range(self.length):
+        while True:
             out.append(symbols[at])
+            if not symbols[at] or len(out) > self.length > 0:
+                break
             entry = lf[at]
             v = node[entry]
             if wide_in[v]:
@@ -237,6 +239,8 @@ class Fused:
             if wide_out[v]:
                 at += place
                 place = 0
+        if out[-1] or self.length and len(out) != self.length:
+            raise ValueError("block is damaged: its walk does not end where its text begins")
         return np.array(out[::-1][1:], np.int64)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import lzma
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,11 +124,17 @@ def fused_index(blocks: DataFrame) -> DataFrame:
     return per_block(blocks, "pos long, sym string, outer long, inner long", of)
 
 
-def index_inverse(blocks: DataFrame) -> DataFrame:
-    def of(text: str):
-        return (["".join(seq.letters(tunnels.fused_index(text)[0].invert()))],)
+def invert_index(index: DataFrame) -> DataFrame:
+    """(block, text) from a compacted index (block, pos, sym, outer, inner), one written before, say.  A block's rows
+    meet in one task, as its text does everywhere."""
 
-    return per_block(blocks, "text string", of)
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        x = np.array([ord(c) + 1 if c != chr(1) else 0 for c in rows["sym"]], np.int64)
+        f = tunnels.Fused(x, rows["outer"].to_numpy(), rows["inner"].to_numpy(), 0)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "text": ["".join(seq.letters(f.invert()))]})
+
+    return index.groupBy("block").applyInPandas(of, "block long, text string")
 
 
 def index_stats(blocks: DataFrame) -> DataFrame:

@@ -424,7 +424,7 @@ def tfm_aux_pack(spark, d):
 
 @query("SELECT item_id AS block, text FROM benchmark")
 def tfm_invert(spark, d):
-    return P.index_inverse(short_blocks(spark, d))
+    return P.invert_index(staged(P.fused_index(short_blocks(spark, d)), "index"))
 
 
 @query(f"WITH {BEST} SELECT block, n, CAST(k AS BIGINT) AS k, CAST(edges AS BIGINT) AS symbols FROM be")
