@@ -694,3 +694,11 @@ def bench_best(spark, d):
 def bench_join(spark, d):
     stats = Y.file_stats(docs(spark, d)).where("size > 0").join(X.table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("quality")), "doc_id", "left")
     return stats.select("doc_id", "size", "newlines", "quality", (F.floor(F.col("newlines") * 1000 / F.col("size")) / 1000).alias("density"))
+
+
+@query(f"WITH {STATS} SELECT doc_id, lang, round((size - min(size) OVER w) / (max(size) OVER w - min(size) OVER w + 1), 6) AS share, round(1 - (size - min(size) OVER w) / (max(size) OVER w - min(size) OVER w + 1), 6) AS rest FROM fs WINDOW w AS (PARTITION BY lang)")
+def bench_matrix(spark, d):
+    """Sizes between the least and the greatest of a language, and the rest to one; the divisor is never zero."""
+    w = Window.partitionBy("lang")
+    share = (F.col("size") - F.min("size").over(w)) / (F.max("size").over(w) - F.min("size").over(w) + 1)
+    return Y.file_stats(docs(spark, d)).select("doc_id", "lang", F.round(share, 6).alias("share"), F.round(1 - share, 6).alias("rest"))
