@@ -6,7 +6,7 @@ holds N; a value outside [0, N) is permuted again until it is inside (cycle-walk
 Slots are range-partitioned into shards: shard s holds slots s * per_shard and on, each at a fixed stride, so a reader
 finds any slot by arithmetic and resumes from its number.
 
-The ids of a sequence travel compressed, once to the shared folder and once in the shuffle.  Shard files are written
+Ids travel compressed in blocks of sequences, once to the shared folder and once in the shuffle.  Shard files are written
 under a name of the attempt and renamed, so a task that runs again replaces nothing but its own file.
 
 Null and empty texts add their end id; repeated rows each count; an empty table gives no shards; the last sequence of
@@ -30,6 +30,12 @@ from pyspark.sql import functions as F
 
 from . import common, wordbpe
 
+LEVEL = 6
+_LONGS = pa.list_(pa.int64())
+BLOCK = pa.schema([("part", pa.int64()), ("at", pa.int64()), ("n_tokens", _LONGS), ("first_doc", _LONGS), ("crc32", _LONGS), ("ids", pa.binary())])
+SENT = pa.schema([("shard", pa.int32()), ("slot", _LONGS), ("sequence", _LONGS), ("n_tokens", _LONGS), ("first_doc", _LONGS), ("crc32", _LONGS), ("ids", pa.binary())])
+
+
 def _round(half: np.ndarray, key: np.uint64, bits: int) -> np.ndarray:
     """A keyed mix of a half, of so many bits."""
     with np.errstate(over="ignore"):
@@ -62,31 +68,32 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6, back: bool = F
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str, length: int, end_id: int, width: int) -> DataFrame:
-    """(part, at, n_tokens, first_doc, crc32, ids): ids as compressed little-endian integers of ``width`` bytes."""
+def sequences(docs: DataFrame, path: str, length: int, end_id: int, width: int, together: int = 32) -> DataFrame:
+    """(part, at, n_tokens, first_doc, crc32, ids): ``together`` consecutive sequences of an input partition, the first
+    of them number ``at``, with a value each, and their ids as one compressed block of integers of ``width`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pack, part = wordbpe.loaded(path), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+        coder, pack, part = wordbpe.loaded(path), zstandard.ZstdCompressor(level=LEVEL), TaskContext.get().partitionId()
         end, held, owners, at = np.array([end_id], np.uint32), [], [], 0
         kind = f"<u{width}"
 
         def cut(last: bool) -> pa.RecordBatch | None:
             nonlocal held, owners, at
             ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
-            n = -(-len(ids) // length) if last else len(ids) // length
+            n = -(-len(ids) // length) if last else len(ids) // (length * together) * together
             if not n:
                 return None
             starts = np.cumsum([0, *[len(x) for x in held]])
             rows = []
-            for k in range(n):
-                own = ids[k * length : (k + 1) * length]
-                raw = own.astype(kind).tobytes()
-                rows.append((part, at + k, len(own), owners[int(np.searchsorted(starts, k * length, "right")) - 1], zlib.crc32(raw), pack.compress(raw)))
+            for first in range(0, n, together):
+                own = [ids[k * length : (k + 1) * length].astype(kind).tobytes() for k in range(first, min(n, first + together))]
+                docs_ = [owners[int(np.searchsorted(starts, k * length, "right")) - 1] for k in range(first, first + len(own))]
+                rows.append((part, at + first, [len(x) // width for x in own], docs_, [zlib.crc32(x) for x in own], pack.compress(b"".join(own))))
             at += n
             rest = ids[n * length :]
-            held, owners = ([rest], [owners[-1]]) if len(rest) else ([], [])
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], ["part", "at", "n_tokens", "first_doc", "crc32", "ids"])
+            keep = int(np.searchsorted(starts, n * length, "right")) - 1
+            held, owners = ([rest[: starts[keep + 1] - n * length], *held[keep + 1 :]], owners[keep:]) if len(rest) else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BLOCK.types, strict=True)], schema=BLOCK)
 
         for batch in batches:
             for slice_ in common.parts(batch, "text"):
@@ -98,7 +105,7 @@ def sequences(docs: DataFrame, path: str, length: int, end_id: int, width: int)
         if out := cut(True):
             yield out
 
-    return common.small_batches(common.documents(docs)).mapInArrow(run, "part long, at long, n_tokens long, first_doc long, crc32 long, ids binary")
+    return common.small_batches(common.documents(docs)).mapInArrow(run, "part long, at long, n_tokens array<long>, first_doc array<long>, crc32 array<long>, ids binary")
 
 
 def _store(url: str):
@@ -115,49 +122,61 @@ def materialise(docs: DataFrame, out: str, key: int = 20240229, length: int = 20
     stride = length * width
     with common.scratch(spark) as stage:
         rows = stage(sequences(docs, path, length, end_id, width), "sequences")
-        # One row for each input partition.
-        counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+        # One row for each input partition; written, so that its size is known and the join moves no ids.
+        counts = rows.groupBy("part").agg(F.sum(F.size("n_tokens")).alias("n"))
         before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        first = counts.select("part", F.coalesce(before, F.lit(0)).alias("first"))
-        numbered = rows.join(first, "part").select((F.col("first") + F.col("at")).alias("sequence"), "n_tokens", "first_doc", "crc32", "ids")
+        first = stage(counts.select("part", "n", F.coalesce(before, F.lit(0)).alias("first")), "first")
+        total = first.agg(F.sum("n")).first()[0] or 0
+        numbered = rows.join(first.drop("n"), "part").select((F.col("first") + F.col("at")).alias("sequence"), "n_tokens", "first_doc", "crc32", "ids")
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                slot = permute(np.asarray(b.column(0)), total, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), *b.columns], ["slot", "shard", *b.schema.names])
-
-        fields = "sequence long, n_tokens long, first_doc long, crc32 long"
-        placed = numbered.mapInArrow(place, f"slot long, shard long, {fields}, ids binary")
+            """Blocks of sequences that go to one shard."""
+            pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+            for batch in batches:
+                for low in range(0, batch.num_rows, 64):
+                    held: dict[int, list] = {}
+                    for at, sizes, docs_, crcs, blob in zip(*(c.to_pylist() for c in batch.slice(low, 64).columns), strict=True):
+                        raw = memoryview(unpack.decompress(blob))
+                        slots = permute(np.arange(at, at + len(sizes)), total, key).tolist()
+                        for k, slot in enumerate(slots):
+                            piece = raw[k * stride : k * stride + sizes[k] * width]
+                            held.setdefault(slot // per_shard, []).append((slot, at + k, sizes[k], docs_[k], crcs[k], piece))
+                    cols = [[], [], [], [], [], [], []]
+                    for shard, own in held.items():
+                        *lists, pieces = zip(*own, strict=True)
+                        for c, v in zip(cols, (shard, *map(list, lists), pack.compress(b"".join(pieces))), strict=True):
+                            c.append(v)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, SENT.types, strict=True)], schema=SENT)
+
+        placed = numbered.mapInArrow(place, "shard int, slot array<long>, sequence array<long>, n_tokens array<long>, first_doc array<long>, crc32 array<long>, ids binary")
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (fs, base), unpack, attempt = _store(out), zstandard.ZstdDecompressor(), TaskContext.get().taskAttemptId()
+            """One shard: ``per_shard`` strides at most are held."""
+            unpack, shard, file, known = zstandard.ZstdDecompressor(), None, None, []
+            for batch in batches:
+                for shard, slots, numbers, sizes, docs_, crcs, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    file = bytearray(min(per_shard, total - shard * per_shard) * stride) if file is None else file
+                    raw, at = unpack.decompress(blob), 0
+                    for slot, size in zip(slots, sizes, strict=True):
+                        to = (slot - shard * per_shard) * stride
+                        file[to : to + size * width] = raw[at : at + size * width]
+                        at += size * width
+                    known += zip(slots, [shard] * len(slots), numbers, sizes, docs_, crcs, strict=True)
+            if file is None:
+                return
+            (fs, base), name = _store(out), f"_{shard:08d}-{TaskContext.get().taskAttemptId()}"
             fs.create_dir(base, recursive=True)
-            file = name = now = None
-
-            def finish():
-                file.close()
-                final = f"{base}/shard-{now:08d}.bin"
-                if fs.get_file_info(final).type != pafs.FileType.NotFound:
-                    fs.delete_file(final)
-                fs.move(name, final)
-
-            for b in batches:
-                for shard, blob in zip(b.column(1).to_pylist(), b.column(6).to_pylist(), strict=True):
-                    if shard != now:
-                        if file:
-                            finish()
-                        now, name = shard, f"{base}/_{shard:08d}-{attempt}"
-                        file = fs.open_output_stream(name, compression=None)
-                    file.write(unpack.decompress(blob).ljust(stride, b"\0"))
-                yield b.drop_columns("ids")
-            if file:
-                finish()
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+                f.write(file)
+            final = f"{base}/shard-{shard:08d}.bin"
+            if fs.get_file_info(final).type != pafs.FileType.NotFound:
+                fs.delete_file(final)
+            fs.move(f"{base}/{name}", final)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*known, strict=True)], ["slot", "shard", "sequence", "n_tokens", "first_doc", "crc32"])
 
         shards = max(1, -(-total // per_shard))
-        ranged = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-        common.small_batches(ranged)
-        done = common.staged(ranged.mapInArrow(write, f"slot long, shard long, {fields}"), "slots")
+        ranged = placed.repartitionById(shards, F.col("shard"))
+        done = common.staged(ranged.mapInArrow(write, "slot long, shard long, sequence long, n_tokens long, first_doc long, crc32 long"), "slots")
     fs, base = _store(out)
     fs.create_dir(base, recursive=True)
     for left in fs.get_file_info(pafs.FileSelector(base)):
