@@ -120,7 +120,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np
         yield rest, [0, len(rest[0])]
 
 
-def dealt(rows: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
+def dealt(rows: DataFrame, keys: list[str], item: str, most: int, attach: DataFrame | None = None) -> DataFrame:
     """rows whose key has company, sorted by it within partitions and preceded by keys, c, d, own.  A key with more than
     ``most`` rows is split into chunks by the hash of ``item``, and each pair of chunks (c, d) becomes a key of its own,
     so that any two rows of a key meet in one task and no task needs more than two chunks; own is the row's chunk."""
@@ -129,4 +129,5 @@ def dealt(rows: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
     own = F.pmod(F.xxhash64(item), F.col("chunks")).cast("int")
     out = rows.join(held, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     out = out.select(*keys, F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "own", *rest)
+    out = out if attach is None else out.join(attach, item).select(*out.columns, *[c for c in attach.columns if c != item])
     return out.repartition(*keys, "c", "d").sortWithinPartitions(*keys, "c", "d")

@@ -20,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components
 
 
 def choose(sample: np.ndarray, pivots: int) -> np.ndarray:
-    """Unit vectors of a sample, each the one farthest from those chosen before."""
+    """Unit vectors of a sample, each the one farthest from those chosen before; a small sample is filled up with random ones."""
+    if len(sample) < pivots:
+        sample = np.concatenate([sample, np.random.default_rng(sample.shape[1]).normal(size=(pivots - len(sample), sample.shape[1]))])
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     chosen, best = [0], unit @ unit[0]
     while len(chosen) < min(pivots, len(unit)):
@@ -36,9 +39,15 @@ def choose(sample: np.ndarray, pivots: int) -> np.ndarray:
     return unit[chosen]
 
 
+def component_kind(rows: DataFrame) -> str:
+    """How components are kept: as 32-bit floats if that is what they are, else as 64-bit ones."""
+    return "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+
+
 def vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, vec): the components as 64-bit floats in a binary, null where the vector can't be compared."""
-    slim = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
+    """(vec_id, label, vec): the components in a binary, null where the vector can't be compared."""
+    kind = component_kind(rows)
+    slim = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,34 +57,36 @@ def vectors(rows: DataFrame) -> DataFrame:
             out = []
             for ok, s, e in zip(np.asarray(lists.is_valid()), starts, ends, strict=True):
                 v = values[s:e]
-                out.append((v + 0.0).tobytes() if ok and np.isfinite(v).all() and v.any() else None)
+                out.append((v.astype(kind) + np.array(0, kind)).tobytes() if ok and np.isfinite(v).all() and v.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "vec"])
 
     return slim.mapInArrow(run, "vec_id long, label long, vec binary")
 
 
-def _unit(blobs) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+def _unit(blobs, kind: str) -> np.ndarray:
+    """Vectors of length one, in double precision."""
+    x = np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def lists(classes: DataFrame, index: dict[int, np.ndarray], pivots: int, near: int, shared: int) -> DataFrame:
-    """(label, dim, list, rep, weight, low, high, vec) for each list a class is in; low and high: its pivots as bits."""
+def lists(classes: DataFrame, index: dict[int, np.ndarray], pivots: int, near: int, shared: int, kind: str) -> DataFrame:
+    """(label, dim, list, rep, weight, low, high) for each list a class is in; low and high: its pivots as bits."""
+    size = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, rep, weight, vec = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            dims = np.array([len(v) // 8 for v in vec])
+            dims = np.array([len(v) // size for v in vec])
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
                 base = index.get(dim)
                 if base is None:
-                    base = choose(np.random.default_rng(dim).normal(size=(4 * pivots, dim)), pivots)
+                    base = choose(np.zeros((0, dim)), pivots)
                 for at in range(0, len(rows), 4096):
                     own = rows[at : at + 4096]
                     n = min(near, len(base))
-                    top = np.sort(np.argpartition(-(_unit(vec[own]) @ base.T), n - 1, axis=1)[:, :n], axis=1)
+                    top = np.sort(np.argpartition(-(_unit(vec[own], kind) @ base.T), n - 1, axis=1)[:, :n], axis=1)
                     bits = np.zeros((len(own), 2), np.uint64)
                     for k in range(n):
                         np.bitwise_or.at(bits, (np.arange(len(own)), top[:, k] // 64), np.uint64(1) << (top[:, k] % 64).astype(np.uint64))
@@ -85,11 +96,11 @@ def lists(classes: DataFrame, index: dict[int, np.ndarray], pivots: int, near: i
                         keys = keys * 128 + top[:, combos[:, k]]
                     i = np.repeat(np.arange(len(own)), len(combos))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(label[own][i]), pa.array(np.full(len(i), dim)), pa.array(keys.ravel()), pa.array(rep[own][i]), pa.array(weight[own][i]), pa.array(bits[i, 0].view(np.int64)), pa.array(bits[i, 1].view(np.int64)), pa.array(vec[own][i], pa.binary())],
-                        ["label", "dim", "list", "rep", "weight", "low", "high", "vec"],
+                        [pa.array(label[own][i]), pa.array(np.full(len(i), dim)), pa.array(keys.ravel()), pa.array(rep[own][i]), pa.array(weight[own][i]), pa.array(bits[i, 0].view(np.int64)), pa.array(bits[i, 1].view(np.int64))],
+                        ["label", "dim", "list", "rep", "weight", "low", "high"],
                     )
 
-    return classes.select("label", "rep", "weight", "vec").mapInArrow(run, "label long, dim long, list long, rep long, weight long, low long, high long, vec binary")
+    return classes.select("label", "rep", "weight", "vec").mapInArrow(run, "label long, dim long, list long, rep long, weight long, low long, high long")
 
 
 def _smallest(low: np.ndarray, high: np.ndarray, shared: int) -> np.ndarray:
@@ -106,7 +117,7 @@ def _smallest(low: np.ndarray, high: np.ndarray, shared: int) -> np.ndarray:
     return out
 
 
-def verified(rows: DataFrame, least: float, near: int, shared: int, most: int) -> DataFrame:
+def verified(rows: DataFrame, classes: DataFrame, least: float, shared: int, most: int, kind: str) -> DataFrame:
     """(a, b, n): n is what b's and others' weights add to a's links where b is null; else a and b are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +125,7 @@ def verified(rows: DataFrame, least: float, near: int, shared: int, most: int) -
             _, _, key, c, d, own, rep, weight, low, high, vec = cols
             low, high = low.view(np.uint64), high.view(np.uint64)
             for s, e in zip(cuts, cuts[1:], strict=False):
-                unit, w, ids, cross = _unit(vec[s:e]), weight[s:e], rep[s:e], c[s] != d[s]
+                unit, w, ids, cross = _unit(vec[s:e], kind), weight[s:e], rep[s:e], c[s] != d[s]
                 add, a, b = np.zeros(e - s, np.int64), [], []
                 root = np.arange(e - s)
                 for at in range(0, e - s, 512):
@@ -137,7 +148,7 @@ def verified(rows: DataFrame, least: float, near: int, shared: int, most: int) -
                         [pa.array([*ids[hit].tolist(), *a], pa.int64()), pa.array([None] * len(hit) + b, pa.int64()), pa.array([*add[hit].tolist(), *[0] * len(a)], pa.int64())], ["a", "b", "n"]
                     )
 
-    return common.dealt(rows, ["label", "dim", "list"], "rep", most).mapInArrow(run, "a long, b long, n long")
+    return common.dealt(rows, ["label", "dim", "list"], "rep", most, classes.select("rep", "vec")).mapInArrow(run, "a long, b long, n long")
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.98, pivots: int = 128, near: int = 6, shared: int = 2, sample: int = 4096, most: int = 1024) -> DataFrame:
@@ -145,14 +156,19 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, pivots: int = 128, nea
     those with the least hash; every class is in the index."""
     table = common.staged(vectors(rows), "vectors")
     good = table.where("vec IS NOT NULL AND label IS NOT NULL")
-    classes = common.staged(good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
-    known = classes.where("rep IS NOT NULL")
-    drawn = [bytes(r.vec) for r in known.orderBy(F.xxhash64("vec"), "rep").limit(sample).select("vec").collect()]
-    index = {dim: choose(_unit(own), pivots) for dim in {len(v) // 8 for v in drawn} if (own := [v for v in drawn if len(v) // 8 == dim])}
-    found = common.staged(verified(lists(known, index, pivots, near, shared), least, near, shared, most), "found")
+    # Classes have numbers of their own: an id may come with several vectors, or be null.
+    grouped = good.groupBy("label", "vec").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
+    classes = common.staged(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    drawn = [bytes(r.vec) for r in classes.orderBy(F.xxhash64("vec"), "rep").limit(sample).select("vec").collect()]
+    kind = component_kind(rows)
+    size = np.dtype(kind).itemsize
+    index = {n // size: choose(_unit([v for v in drawn if len(v) == n], kind), pivots) for n in {len(v) for v in drawn}}
+    found = common.staged(verified(lists(classes, index, pivots, near, shared, kind), classes, least, shared, most, kind), "found")
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     linked = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "rep")
-    by_class = classes.join(counts, "rep", "left").join(linked, "rep", "left").select("label", "vec", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    rooted = classes.join(counts, "rep", "left").join(linked, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_class = rooted.join(ids, "root").select("label", "vec", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     joined = table.join(by_class, ["label", "vec"], "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -124,6 +124,14 @@ def test_vectors(spark):
     check(spark, rows, most=8, sample=64)
 
 
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 0.01], 0), (None, [1.0, 0.0], 0), (4, [-1.0, 0.0], 0)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in pivots.near_duplicates(vectors(spark, rows)).collect())
+    assert got == [(0, 2, 1, False), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+    wide = spark.createDataFrame([(1, [1.0, 1e-9], 0), (2, [1.0, 2e-9], 0), (3, [1.0, 0.3], 0)], "vec_id long, embedding array<double>, label int")
+    assert [(r.vec_id, r.n_links) for r in pivots.near_duplicates(wide).orderBy("vec_id").collect()] == [(1, 1), (2, 1), (3, 0)]
+
+
 def test_recall_on_a_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").limit(10_000)
     got = {r.vec_id: r.n_links for r in pivots.near_duplicates(rows).collect()}
