@@ -35,7 +35,13 @@ def per_block(blocks: DataFrame, columns: str, of: Callable[[str], tuple | None]
             if held:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return blocks.select("block", "text").mapInArrow(run, schema)
+    return spread(blocks.select("block", "text")).mapInArrow(run, schema)
+
+
+def spread(blocks: DataFrame) -> DataFrame:
+    """blocks over all cores if their input has fewer partitions than these, as one small file has; else as they are."""
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    return blocks.repartition(cores, "block") if blocks.rdd.getNumPartitions() < cores else blocks
 
 
 def suffix_array(blocks: DataFrame) -> DataFrame:
