@@ -48,6 +48,9 @@ TEMPLATES = {
     "reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
 
+#: Notices of fewer than five words, each one shingle of its own length; op9 scans for these too.
+SHORT = {"reserved-short": "All rights reserved."}
+
 _WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64((1 << 61) - 1)
 
