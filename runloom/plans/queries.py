@@ -643,12 +643,12 @@ def plans_documents(spark, d):
 
 @query()
 def tunneled_bwt(spark, d):
-    return P.fused_rows(short_blocks(spark, d), "best100")
+    return P.fused_rows(doc_blocks(spark, d), "best100")
 
 
 @query()
 def aux_runs(spark, d):
-    return P.aux_runs(P.fused_rows(short_blocks(spark, d), "best100"))
+    return P.aux_runs(P.fused_rows(doc_blocks(spark, d), "best100"))
 
 
 @query()
@@ -670,8 +670,21 @@ def plan_improvement(spark, d):
 
 
 def _roundtrip(name: str, of):
+    """Over ``benchmark``, and as name_documents over whole documents."""
     QUERIES[name] = lambda spark, d: of(short_blocks(spark, d))
     SQL[name] = "SELECT item_id AS block, text FROM benchmark"
+    _over_documents(name, of)
+
+
+def _over_documents(name: str, of):
+    QUERIES[f"{name}_documents"] = lambda spark, d: of(doc_blocks(spark, d))
+
+
+_over_documents("tfm_invert", lambda b: P.invert_index(staged(P.fused_index(b), "index")))
+_over_documents("twobit_roundtrip", lambda b: P.coder_roundtrip(b, "two_bits"))
+_over_documents("zipped_index_roundtrip", lambda b: P.coder_roundtrip(b, "index"))
+_over_documents("inverse_tunneled_bwt", lambda b: P.fused_inverse(b, "best100"))
+_over_documents("codec_validate", P.damaged)
 
 
 _roundtrip("range_roundtrip", lambda b: P.coder_roundtrip(b, "range"))
@@ -689,7 +702,7 @@ def codec_validate(spark, d):
 
 @query()
 def codec_block_sizes(spark, d):
-    return P.codec_sizes(short_blocks(spark, d))
+    return P.codec_sizes(doc_blocks(spark, d))
 
 
 @query()
@@ -701,7 +714,7 @@ def codec_xz(spark, d):
 
 
 def _sizes(spark, d):
-    return P.codec_sizes(short_blocks(spark, d), ("none", "greedy"), ("bw94",))
+    return P.codec_sizes(doc_blocks(spark, d), ("none", "greedy"), ("bw94",))
 
 
 @query()

@@ -46,3 +46,18 @@ def test_orders_up_to_100(spark, folder):
 def test_entry_has_no_cap_on_the_order(spark):
     got = {r.block: (r.k, r.edges) for r in __spark_entry__.entry(spark).collect()}
     assert max(k for k, _ in got.values()) > 8
+
+
+ROUND_TRIPS = ["tfm_invert", "twobit_roundtrip", "zipped_index_roundtrip", "inverse_tunneled_bwt", "range_roundtrip", "arith_roundtrip", "arith64_roundtrip", "codec_bw94", "codec_bcm", "codec_roundtrip"]
+
+
+@pytest.mark.parametrize("name", ROUND_TRIPS)
+def test_round_trips_over_documents(spark, folder, name):
+    got = {r.block: r.text for r in QUERIES[f"{name}_documents"](spark, folder).select("block", "text").collect()}
+    assert got == TEXTS
+
+
+@pytest.mark.parametrize("name", ["tunneled_bwt", "aux_runs", "codec_block_sizes", "bench_ratios", "bench_best", "codec_validate_documents"])
+def test_reports_read_documents(spark, folder, name):
+    got = {r.block for r in QUERIES[name](spark, folder).select("block").collect()}
+    assert {i for i, t in TEXTS.items() if len(t) > 10} <= got <= set(TEXTS)
