@@ -1,17 +1,27 @@
 """Quality rules with robust multivariate outliers.
 
-Every row has five transformed statistics.  For each language and source, location and scatter are estimated by the
-minimum covariance determinant over all rows that pass the base rules: from coordinatewise medians and spreads,
-concentration steps take the ``share`` of rows nearest to the estimate and estimate again, which never raises the
-determinant.  A step is two aggregations of counts, sums and products over written statistics; no group's rows meet in
-one task, and a source with a third of all rows is as even as any other.
+Every row has five transformed statistics.  Of the rows that pass the base rules, location and scatter are estimated by
+the minimum covariance determinant for each language, then for each language and source.  A group has the estimate of its
+language as a prior that counts as ``PRIOR`` rows, and a language the medians and quartile ranges of all rows, so that a
+group of any size, of one row too, has an estimate of its own by one formula: with n rows the prior weighs PRIOR / (n + PRIOR).
 
-Sources with fewer than ``least`` such rows share one estimate for their language; if they are still fewer, they have
-none and the base rules alone decide.  Variances have a floor, so a statistic that is the same in nearly all rows
-(no symbols, no repeats) does not make every small deviation an outlier.
+With h = ceil(share * n) rows taken, the scatter is (c * sum (x - m)(x - m)' + PRIOR * (T + (m - m0)(m - m0)')) / (h + PRIOR)
+plus the counting noise of a text of 50 words.  A concentration step takes the h rows nearest to an estimate; as prior
+and noise are the same before and after, it never raises the determinant.  Every group has four starts (its prior, all
+rows, two random eighths); after two steps the start of the lowest determinant goes on until no group's
+falls by a thousandth any more.
+The h nearest rows are found by sums over narrow bins of the squared distance; rows of the bin in which the h-th lies
+count with the fraction that makes h of them, and so do ties.  Then rows within the 0.975 quantile are estimated once more.
+
+A row is an outlier if it lies beyond five standard deviations, by the F distribution that the distance of a new row to
+an estimate from so many rows has; a row exactly there stays.
+
+Rows lie in ranges of language, source and id, so partial sums of a group leave few tasks; every step is one aggregation
+by group, start and bin, no group's rows meet in one task, and a source with a third of all rows is as even as any other.
 
 Null texts are empty and fail the base rules; null languages and sources are groups like any other; repeated rows each
-count; an empty table gives no rows.
+count; an empty table gives no rows; columns other than doc_id, text, lang and source stay out of ``judge`` and pass
+through ``keep`` whatever their names; texts are read one by one, the longest within what a task holds of it and its words.
 """
 
 from __future__ import annotations
@@ -21,23 +31,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .textstats import RULE_STATS, statistics, with_statistics
 
+LEAST_WORDS = 50
+#: Rows that a prior counts as: the numbers that an estimate of five statistics has (5 means, 15 covariances).
+PRIOR = 20
+#: Both tails of a normal distribution beyond five standard deviations.
+TAIL = math.erfc(5 / math.sqrt(2))
+#: Bins for each doubling of the squared distance.
+FINE = 256
 
 
 def features() -> dict[str, tuple[Column, float]]:
-    """Transformed statistics, and the standard deviation each has at least."""
+    """Transformed statistics, and the standard deviation that chance alone gives each in a text of LEAST_WORDS words:
+    of the root of a rate whose events come in clumps of c words, sqrt(c / n) / 2 (symbols one by one, lines of some
+    four words, repeats of two three-word windows); of a mean word length, that of a word's (2.5) over sqrt(n)."""
     n = F.greatest(F.col("n_words"), F.lit(1))
+    rate = lambda clump: math.sqrt(clump / LEAST_WORDS) / 2
     return {
-        "x0": (F.log(n), 1.0),
-        "x1": (F.col("word_chars") / n, 0.25),
-        "x2": (F.sqrt(F.col("n_symbols") / n), 0.08),
-        "x3": (F.sqrt(F.col("n_dup_lines") / n), 0.08),
-        "x4": (F.sqrt(F.col("n_repeat_words") / n), 0.2),
+        "x0": (F.log(n), 1 / math.sqrt(LEAST_WORDS)),
+        "x1": (F.col("word_chars") / n, 2.5 / math.sqrt(LEAST_WORDS)),
+        "x2": (F.sqrt(F.col("n_symbols") / n), rate(1)),
+        "x3": (F.sqrt(F.col("n_dup_lines") / n), rate(1)),
+        "x4": (F.sqrt(F.col("n_repeat_words") / n), rate(6)),
     }
 
 
@@ -54,116 +74,201 @@ def chi2_cdf(x: float, p: int) -> float:
     return min(1.0, total * math.exp(-x + a * math.log(x) - math.lgamma(a)))
 
 
-def chi2_quantile(q: float, p: int) -> float:
-    low, high = 0.0, 1000.0
-    for _ in range(200):
+def _root(rising, low: float, high: float) -> float:
+    """Where ``rising`` becomes positive."""
+    for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if chi2_cdf(mid, p) < q else (low, mid)
+        low, high = (low, mid) if rising(mid) > 0 else (mid, high)
     return (low + high) / 2
 
 
+def chi2_quantile(q: float, p: int) -> float:
+    return _root(lambda x: chi2_cdf(x, p) - q, 0.0, 1000.0)
+
+
+def f_tail(x: float, a: int, b: float) -> float:
+    """Upper tail of the F distribution: the incomplete beta integral over t < b / (b + a x), with v = -(b / 2) log(t / end), by Simpson's rule."""
+    if x <= 0:
+        return 1.0
+    v = np.linspace(0, 60, 1201)
+    end = -math.log1p(a * x / b)
+    y = np.exp(-v) * (-np.expm1(end - 2 * v / b)) ** (a / 2 - 1)
+    whole = (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()) * (v[1] - v[0]) / 3 * 2 / b
+    return float(whole * math.exp(b / 2 * end + math.lgamma((a + b) / 2) - math.lgamma(a / 2) - math.lgamma(b / 2)))
+
+
+def distance_cut(n: float, p: int, tail: float = TAIL) -> float:
+    """The squared distance of a new row to an estimate from n rows that is exceeded with the chance ``tail``."""
+    if n > 1e6:
+        return _root(lambda x: chi2_cdf(x, p) - 1 + tail, 0.0, 1000.0)
+    f = _root(lambda x: tail - f_tail(x, p, n - p), 0.0, 1e5)
+    return p * (n * n - 1) / (n * (n - p)) * f
+
+
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _pairs(p: int) -> list[tuple[int, int]]:
+    return [(j, k) for j in range(p) for k in range(j, p)]
 
 
-def _squared(p: int) -> Column:
+def _squared(p: int) -> str:
     """Squared Mahalanobis distance from columns x, m (centre) and i (inverse scatter, row by row)."""
-    terms = [F.col(f"i{j}_{k}") * (F.col(f"x{j}") - F.col(f"m{j}")) * (F.col(f"x{k}") - F.col(f"m{k}")) * (1 if j == k else 2) for j in range(p) for k in range(j, p)]
-    return sum(terms[1:], terms[0])
+    terms = [f"{1 if j == k else 2} * i[{n}] * (x{j} - m[{j}]) * (x{k} - m[{k}])" for n, (j, k) in enumerate(_pairs(p))]
+    return f"greatest({' + '.join(terms)}, 0D)"
 
 
-def _inverted(sums: DataFrame, floors: list[float], factor: float) -> DataFrame:
-    """From each group's count, sums and products about m: its mean, and the inverse of its covariance times factor."""
-    p = len(floors)
-    pairs = [(j, k) for j in range(p) for k in range(j, p)]
-    names = ["g", *[f"m{j}" for j in range(p)], *[f"i{j}_{k}" for j, k in pairs], "logdet"]
+def _sums(p: int, weight: str | None = None) -> list[Column]:
+    """h, s.. and p..: count, sums and products of x.., or those columns themselves summed with a weight."""
+    values = {"h": "1D", **{f"s{j}": f"x{j}" for j in range(p)}, **{f"p{j}_{k}": f"x{j} * x{k}" for j, k in _pairs(p)}}
+    return [F.expr(f"sum({f'{weight} * {n}' if weight else v}) AS {n}") for n, v in values.items()]
+
+
+ESTIMATE = "g string, up string, start int, m array<double>, t array<double>, i array<double>, logdet double, h double"
+
+
+def _solved(sums: DataFrame, prior: DataFrame, noise: list[float], factor: float, weight: float, first: bool = False) -> DataFrame:
+    """ESTIMATE from each group's and start's count, sums and products, and its prior (up, m, t).  t and i are scatter and
+    inverse, row by row.  first: rows of start 1 give start 0 as well, the prior itself."""
+    p = len(noise)
+    pairs, extra = _pairs(p), np.diag(np.square(noise))
+    joined = sums.join(prior.selectExpr("up", "m AS m0", "t AS t0"), "up")
+    kinds = (pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.float64())] * 3, pa.float64(), pa.float64())
+
+    def square(cells) -> np.ndarray:
+        out = np.zeros((p, p))
+        for (j, k), v in zip(pairs, cells, strict=True):
+            out[j, k] = out[k, j] = v
+        return out
+
+    def row(r: dict, start: int, centre: np.ndarray, scatter: np.ndarray) -> tuple:
+        inverse = np.linalg.inv(scatter + extra)
+        cells = [[float(x[j, k]) for j, k in pairs] for x in (scatter, inverse)]
+        return (r["g"], r["up"], start, centre.tolist(), *cells, -float(np.linalg.slogdet(inverse)[1]), r["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                mean = np.array([r[f"s{j}"] for j in range(p)]) / r["n"]
-                cov = np.zeros((p, p))
-                for j, k in pairs:
-                    cov[j, k] = cov[k, j] = r[f"p{j}_{k}"] / r["n"] - mean[j] * mean[k]
-                cov = cov * factor
-                cov[np.diag_indices(p)] = np.maximum(np.diag(cov), np.square(floors))
-                inverse = np.linalg.inv(cov + np.diag(np.square(floors) * 1e-3))
-                centre = [r[f"m{j}"] + mean[j] for j in range(p)]
-                rows.append((r["g"], *map(float, centre), *[float(inverse[j, k]) for j, k in pairs], float(-np.linalg.slogdet(inverse)[1])))
+                before, shape, h = np.array(r["m0"]), square(r["t0"]), r["h"]
+                if first and r["start"] == 1:
+                    rows.append(row(r, 0, before, shape))
+                mean = np.array([r[f"s{j}"] for j in range(p)]) / h
+                spread = square([r[f"p{j}_{k}"] for j, k in pairs]) - h * np.outer(mean, mean)
+                centre = (factor * h * mean + weight * before) / (factor * h + weight)
+                a, b = mean - centre, centre - before
+                scatter = (factor * (spread + h * np.outer(a, a)) + weight * (shape + np.outer(b, b))) / (h + weight)
+                rows.append(row(r, r["start"], centre, scatter))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
-
-    return sums.mapInArrow(run, "g string, " + ", ".join(f"{n} double" for n in names[1:]))
-
-
-def estimates(rows: DataFrame, floors: list[float], share: float = 0.75, steps: int = 6) -> DataFrame:
-    """(g, m.., i.., logdet): the estimate of each group g over all of its rows (g, x..)."""
-    spark, p = rows.sparkSession, len(floors)
-    pairs = [(j, k) for j in range(p) for k in range(j, p)]
-    limit = chi2_quantile(share, p)
-    factor = share / chi2_cdf(limit, p + 2)
-    quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f"x{j}", [0.25, 0.5, 0.75], 1000).alias(f"q{j}") for j in range(p)])
-    scale = lambda j: F.greatest((F.col(f"q{j}")[2] - F.col(f"q{j}")[0]) / 1.349, F.lit(floors[j]))
-    start = quartiles.select("g", *[F.col(f"q{j}")[1].alias(f"m{j}") for j in range(p)], *[(1 / (scale(j) * scale(j)) if j == k else F.lit(0.0)).alias(f"i{j}_{k}") for j, k in pairs], F.lit(0.0).alias("logdet"))
-    current = common.staged(start, "estimate")
-    for _ in range(steps):
-        near = rows.join(current.drop("logdet"), "g").withColumn("d", _squared(p))
-        # Written, so that its size is known and the join with all rows need not deal them out by group.
-        cut = common.staged(near.groupBy("g").agg(F.percentile_approx("d", share, 10_000).alias("cut")), "cut")
-        core = near.join(cut, "g").where("d <= cut")
-        about = lambda j: F.col(f"x{j}") - F.col(f"m{j}")
-        sums = core.groupBy("g").agg(
-            F.count("*").alias("n"),
-            *[F.first(f"m{j}").alias(f"m{j}") for j in range(p)],
-            *[F.sum(about(j)).alias(f"s{j}") for j in range(p)],
-            *[F.sum(about(j) * about(k)).alias(f"p{j}_{k}") for j, k in pairs],
-        )
-        following = common.staged(_inverted(sums, floors, factor), "estimate")
-        common.remove(spark, common.path_of(current)) if current.inputFiles() else None
-        current = following
-    return current
-
-
-def fit(stats: DataFrame, least: int = 100, share: float = 0.75, steps: int = 6) -> tuple[DataFrame, DataFrame]:
-    """From written statistics (lang, source, RULE_STATS): groups (gl, gs, g) and the estimates of each g."""
-    of = features()
-    passed = stats.where(~base_failed())
-    one, pooled = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang", F.lit(True).alias("pooled")))
-    counts = passed.groupBy("lang", "source").count()
-    groups = counts.withColumn("g", F.when(F.col("count") >= least, one).otherwise(pooled))
-    sizes = groups.groupBy("g").agg(F.sum("count").alias("rows")).where(F.col("rows") >= least)
-    groups = common.staged(groups.join(sizes, "g").select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "g"), "groups")
-    named = _named(passed, groups).where("g IS NOT NULL").select("g", *[c.alias(n) for n, (c, _) in of.items()])
-    return groups, estimates(named, [f for _, f in of.values()], share, steps)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in ESTIMATE.split(", ")])
+
+    return joined.mapInArrow(run, ESTIMATE)
+
+
+def _nearest(rows: DataFrame, current: DataFrame, share: float, p: int) -> DataFrame:
+    """(g, up, start, h, s.., p..): sums over the nearest ``share`` of each group's rows (g, up, x..), by each of its estimates."""
+    near = rows.join(current.select("g", "start", "m", "i"), "g").selectExpr("g", "up", "start", *[f"x{j}" for j in range(p)], f"cast(floor(log2(greatest({_squared(p)}, 1e-12D)) * {FINE}) AS int) AS bin")
+    binned = near.groupBy("g", "up", "start", "bin").agg(*_sums(p))
+    upto = binned.withColumns({"upto": F.expr("sum(h) OVER (PARTITION BY g, start ORDER BY bin ROWS UNBOUNDED PRECEDING)"), "whole": F.expr(f"ceil({share}D * sum(h) OVER (PARTITION BY g, start) - 1e-9D)")})
+    taken = upto.withColumn("w", F.expr("greatest(0D, least(1D, (whole - (upto - h)) / h))")).where("w > 0")
+    return taken.groupBy("g", "up", "start").agg(*_sums(p, "w"))
+
+
+def _lowest(estimates: DataFrame) -> DataFrame:
+    """Of each group the estimate of the lowest determinant, the least start of equals; fell: by how much it is below the highest."""
+    cells = ", ".join(c for c in estimates.columns if c != "g")
+    return estimates.groupBy("g").agg(F.expr(f"min_by(struct({cells}), struct(logdet, start)) AS x"), F.expr("max(logdet) - min(logdet) AS fell")).select("g", "x.*", "fell")
+
+
+def estimates(rows: DataFrame, prior: DataFrame, noise: list[float], weight: float = PRIOR, share: float = 0.75, most_steps: int = 30, least_fall: float = 1e-3, tail: float = TAIL, reweigh: bool = True) -> DataFrame:
+    """(g, m, t, i, logdet, h, cut): the estimate of each group g over all of its rows (g, up, x..) with the prior of up
+    (up, m, t); a written table.  reweigh: estimated once more over the rows within the 0.975 quantile."""
+    p = len(noise)
+    factor = share / chi2_cdf(chi2_quantile(share, p), p + 2)
+    values = ", ".join(f"x{j}" for j in range(p))
+    with common.scratch(rows.sparkSession) as stage:
+        drawn = ", ".join(f"CASE WHEN pmod(xxhash64({s}, {values}), 8) = 0 THEN {s} END" for s in (2, 3))
+        begun = rows.withColumn("start", F.expr(f"explode(array_compact(array(1, {drawn})))"))
+        current = stage(_solved(begun.groupBy("g", "up", "start").agg(*_sums(p)), prior, noise, 1.0, weight, True), "estimate")
+        step = lambda before: _solved(_nearest(rows, before, share, p), prior, noise, factor, weight)
+        current = stage(step(current), "estimate")
+        current = stage(_lowest(step(current)), "estimate")
+        for _ in range(most_steps):
+            both = step(current).withColumn("start", F.lit(-1)).unionByName(current.drop("fell").withColumn("start", F.lit(0)))
+            current = stage(_lowest(both), "estimate")
+            if current.where(f"start = -1 AND fell > {least_fall}").isEmpty():
+                break
+        current = current.drop("fell")
+        if reweigh:
+            near = chi2_quantile(0.975, p)
+            inside = rows.join(current.select("g", "m", "i"), "g").where(f"{_squared(p)} <= {near}D").withColumn("start", F.lit(0))
+            again = _solved(inside.groupBy("g", "up", "start").agg(*_sums(p)), prior, noise, 0.975 / chi2_cdf(near, p + 2), weight)
+            # A group none of whose rows is so near keeps what it has.
+            cells = ", ".join(c for c in current.columns if c != "g")
+            current = again.unionByName(current.withColumn("start", F.lit(1))).groupBy("g").agg(F.expr(f"min_by(struct({cells}), start) AS x")).select("g", "x.*")
+        return common.staged(_with_cut(current, p, weight, tail), "estimates")
+
+
+def _with_cut(found: DataFrame, p: int, weight: float, tail: float) -> DataFrame:
+    kept = found.select("g", "m", "t", "i", "logdet", "h")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[float, float] = {}
+        for batch in batches:
+            sizes = [max(h + weight, p + 1.0) for h in batch.column(5).to_pylist()]
+            for n in set(sizes) - known.keys():
+                known[n] = distance_cut(n, p, tail)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([known[n] for n in sizes], pa.float64())], [*batch.schema.names, "cut"])
+
+    return kept.mapInArrow(run, "g string, m array<double>, t array<double>, i array<double>, logdet double, h double, cut double")
 
-def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    same = F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs"))
-    return rows.join(groups, same, "left").drop("gl", "gs")
 
+def group(*columns: str) -> Column:
+    """A name for a language's group, or that of a language and source; nulls are a value."""
+    return F.to_json(F.struct(F.lit(len(columns)).alias("level"), *[F.col(c).cast("string").alias(c) for c in columns]))
 
-def verdict(rows: DataFrame, groups: DataFrame, fitted: DataFrame, quantile: float = 0.999999) -> DataFrame:
+
+def fit(stats: DataFrame, share: float = 0.75, weight: float = PRIOR, tail: float = TAIL) -> DataFrame:
+    """From written statistics (doc_id, lang, source, RULE_STATS): the estimate of each language and source; a written table."""
+    of = features()
+    noise, p, spark = [f for _, f in of.values()], len(of), stats.sparkSession
+    with common.scratch(spark) as stage:
+        every = stats.where(~base_failed()).select("doc_id", "lang", "source", *[c.cast("double").alias(n) for n, (c, _) in of.items()])
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        passed = stage(every.repartitionByRange(n, "lang", "source", "doc_id").drop("doc_id"), "passed")
+        middle = passed.agg(*[F.expr(f"percentile_approx(x{j}, array(0.25, 0.5, 0.75), 1000) AS q{j}") for j in range(p)]).first()
+        quartiles = [middle[f"q{j}"] or [0.0, 0.0, 0.0] for j in range(p)]
+        spread = [((q[2] - q[0]) / 1.349) ** 2 for q in quartiles]
+        begin = ("", [float(q[1]) for q in quartiles], [float(spread[j]) if j == k else 0.0 for j, k in _pairs(p)])
+        prior = spark.createDataFrame([begin], "up string, m array<double>, t array<double>")
+        for keys in (("lang",), ("lang", "source")):
+            above = group(*keys[:-1]) if keys[:-1] else F.lit("")
+            found = estimates(passed.select(group(*keys).alias("g"), above.alias("up"), *of), prior, noise, weight, share, tail=tail)
+            prior = found.select(F.col("g").alias("up"), "m", "t")
+        return found
+
+
+def verdict(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """rows (lang, source, RULE_STATS, ...) with base_failed, distance and kept."""
     of = features()
-    named = _named(rows, groups).select("*", *[c.alias(n) for n, (c, _) in of.items()], base_failed().alias("base_failed"))
-    out = named.join(fitted, "g", "left").withColumn("d", F.when(~F.col("base_failed"), _squared(len(of))))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d") <= chi2_quantile(quantile, len(of)), F.lit(True))
-    return out.select(*rows.columns, "base_failed", F.sqrt("d").alias("distance"), kept.alias("kept"))
-
+    named = rows.select("*", *[c.cast("double").alias(n) for n, (c, _) in of.items()], base_failed().alias("base_failed"), group("lang", "source").alias("g"))
+    # A row that passed has an estimate, as its group has at least this row.
+    out = named.join(fitted.select("g", "m", "i", "cut"), "g", "left").withColumn("d", F.expr(f"CASE WHEN NOT base_failed THEN {_squared(len(of))} END"))
+    return out.select(*rows.columns, "base_failed", F.sqrt("d").alias("distance"), F.expr("coalesce(NOT base_failed AND d <= cut, false)").alias("kept"))
 
-def judge(docs: DataFrame, quantile: float = 0.999999, least: int = 100, share: float = 0.75, steps: int = 6) -> DataFrame:
-    """(doc_id, RULE_STATS, base_failed, distance, kept) of every row of docs (doc_id, text, lang, source).
 
-    distance is null where the row failed the base rules or its group has no estimate."""
+def judge(docs: DataFrame, share: float = 0.75, weight: float = PRIOR, tail: float = TAIL) -> DataFrame:
+    """(doc_id, RULE_STATS, base_failed, distance, kept) of every row of docs (doc_id, text, lang, source); distance is
+    null where the row failed the base rules."""
     stats = common.staged(statistics(docs), "statistics")
-    groups, fitted = fit(stats, least, share, steps)
-    return verdict(stats, groups, fitted, quantile).select("doc_id", *RULE_STATS, "base_failed", "distance", "kept")
+    return verdict(stats, fit(stats, share, weight, tail)).select("doc_id", *RULE_STATS, "base_failed", "distance", "kept")
 
 
-def keep(docs: DataFrame, quantile: float = 0.999999, least: int = 100) -> DataFrame:
+def keep(docs: DataFrame, share: float = 0.75, weight: float = PRIOR, tail: float = TAIL) -> DataFrame:
     """The rows of docs that ``judge`` keeps, with all their columns."""
-    groups, fitted = fit(common.staged(statistics(docs), "statistics"), least)
+    with common.scratch(docs.sparkSession) as stage:
+        fitted = fit(stage(statistics(docs), "statistics"), share, weight, tail)
     rows = common.numbered(docs).select("*", F.col(common.place(docs, "lang")).cast("string").alias("lang"), F.col(common.place(docs, "source")).cast("string").alias("source"))
-    judged = verdict(with_statistics(rows, common.place(docs, "text"), keep_text=True), groups, fitted, quantile)
+    judged = verdict(with_statistics(rows, common.place(docs, "text"), keep_text=True), fitted)
     return common.named(judged.where("kept"), docs)

@@ -44,7 +44,7 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert [k for k, r in got.items() if not r.kept] == sorted(b[0] for b in bad) or {k for k, r in got.items() if not r.kept} == {b[0] for b in bad}
     assert {k for k, r in got.items() if r.base_failed} == {1002, 1003, 1004}
     few = {r.doc_id: r for r in outliers.judge(documents(spark, rows[:20] + bad)).collect()}
-    assert {k for k, r in few.items() if not r.kept} == {1002, 1003, 1004} and few[1000].distance is None
+    assert {k for k, r in few.items() if not r.kept} == {b[0] for b in bad} and all((r.distance is None) == r.base_failed for r in few.values())
     kept = outliers.keep(documents(spark, rows + bad))
     assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in rows] and kept.columns == documents(spark, []).columns
     assert outliers.judge(documents(spark, [])).count() == 0
@@ -55,25 +55,60 @@ def test_null_groups(spark):
     assert outliers.judge(documents(spark, rows)).where("kept AND distance IS NOT NULL").count() == 150
 
 
-def test_estimate_against_concentration_steps_by_numpy(spark):
+def test_one_estimate_for_each_language_and_source(spark):
+    """Groups of every size, of one row too, have a distance; equal rows and ties are kept or rejected together."""
+    rows = [(k, t, "en" if k % 3 else "fr", f"s{k % 7}" if k < 28 else "hot") for k, t in many(100)]
+    rows += [(200, rows[0][1], "xx", "one"), (201, rows[0][1], "xx", "one"), (202, rows[5][1], None, None), (202, rows[5][1], None, None)]
+    got = outliers.judge(documents(spark, rows)).collect()
+    assert len(got) == 104 and all(r.kept and r.distance is not None for r in got)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.doc_id, set()).add((r.distance, r.kept))
+    assert by_id[200] == by_id[201] and len(by_id[202]) == 1
+
+
+def test_estimates_against_all_subsets(spark):
+    """Of small groups, the lowest determinant over all subsets of h rows, by the formula of the module."""
+    from itertools import combinations
+
+    rng, p, weight, share, noise = np.random.default_rng(2), 3, 4.0, 0.75, [0.1, 0.2, 0.3]
+    factor = share / outliers.chi2_cdf(outliers.chi2_quantile(share, p), p + 2)
+    m0, t0 = np.array([0.5, 0.0, -0.5]), np.array([[2.0, 0.3, 0.0], [0.3, 1.0, 0.1], [0.0, 0.1, 1.5]])
+    data = {f"g{n}": np.concatenate([rng.normal(0, 1, (n - n // 4, p)), rng.normal(8, 1, (n // 4, p))]) for n in (1, 2, 5, 8, 11)}
+    pairs = [(j, k) for j in range(p) for k in range(j, p)]
+    rows = spark.createDataFrame([(g, "u", *map(float, r)) for g, x in data.items() for r in x], "g string, up string, " + ", ".join(f"x{k} double" for k in range(p)))
+    prior = spark.createDataFrame([("u", m0.tolist(), [float(t0[j, k]) for j, k in pairs])], "up string, m array<double>, t array<double>")
+    got = {r.g: r for r in outliers.estimates(rows.repartition(3), prior, noise, weight, share, reweigh=False).collect()}
+    assert set(got) == set(data)
+    for g, x in data.items():
+        h, best = math.ceil(share * len(x)), None
+        for chosen in combinations(range(len(x)), h):
+            own = x[list(chosen)]
+            centre = (factor * own.sum(0) + weight * m0) / (factor * h + weight)
+            s = (factor * (own - centre).T @ (own - centre) + weight * (t0 + np.outer(centre - m0, centre - m0))) / (h + weight)
+            best = min(best or (np.inf,), (float(np.linalg.slogdet(s + np.diag(np.square(noise)))[1]), centre.tolist()))
+        assert got[g].logdet == pytest.approx(best[0], abs=1e-9) and got[g].m == pytest.approx(best[1], abs=1e-9) and got[g].h == h
+
+
+def test_estimate_leaves_a_far_group_out(spark):
     rng = np.random.default_rng(2)
-    x = np.concatenate([rng.normal(0, 3, (300, 5)), rng.normal(40, 1, (40, 5))])
-    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"x{k} double" for k in range(5)))
-    floors = [0.01] * 5
-    got = outliers.estimates(rows, floors).first()
-    centre = np.array([got[f"m{k}"] for k in range(5)])
-    assert np.abs(centre).max() < 0.8
-    d = np.sqrt(((x - centre) ** 2).sum(1) / 9)
-    assert d[:300].mean() < 3 < d[300:].min()
-    # One more step changes nothing: the estimate is that of its own nearest rows.
-    inverse = np.array([[got[f"i{min(j, k)}_{max(j, k)}"] for k in range(5)] for j in range(5)])
-    near = np.argsort(np.einsum("nj,jk,nk->n", x - centre, inverse, x - centre))[: int(0.75 * len(x))]
-    assert np.allclose(x[near].mean(0), centre, atol=0.05)
+    x = np.concatenate([rng.normal(0, 3, (300, 5)), rng.normal(40, 1, (60, 5))])
+    rows = spark.createDataFrame([("g", "u", *map(float, r)) for r in x], "g string, up string, " + ", ".join(f"x{k} double" for k in range(5)))
+    prior = spark.createDataFrame([("u", [1.0] * 5, [9.0 if j == k else 0.0 for j in range(5) for k in range(j, 5)])], "up string, m array<double>, t array<double>")
+    got = outliers.estimates(rows, prior, [0.01] * 5).first()
+    inverse = np.zeros((5, 5))
+    for n, (j, k) in enumerate((j, k) for j in range(5) for k in range(j, 5)):
+        inverse[j, k] = inverse[k, j] = got.i[n]
+    d = np.einsum("nj,jk,nk->n", x - got.m, inverse, x - got.m)
+    assert np.abs(got.m).max() < 0.8 and d[:300].max() < got.cut < d[300:].min()
 
 
 def test_chi_square():
     assert outliers.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
     assert outliers.chi2_cdf(3.84146, 1) == pytest.approx(0.95, abs=1e-5)
+    # Points of published tables of the F distribution.
+    assert [outliers.f_tail(x, a, b) for x, a, b in ((2.71, 5, 20), (4.10, 5, 20), (2.53, 5, 30))] == pytest.approx([0.05, 0.01, 0.05], rel=0.01)
+    assert outliers.distance_cut(2e6, 5) == pytest.approx(outliers.distance_cut(9e5, 5), rel=1e-3)
 
 
 def test_classifier_on_held_out_rows(spark):
