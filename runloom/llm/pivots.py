@@ -1,10 +1,15 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Reference points (pivots) are chosen, far apart from each other, from a bounded sample.  A vector is described by its
-``near`` nearest pivots; the inverted lists are keyed by label and every ``shared`` of these, so two vectors meet in a
-list exactly if they share so many pivots.  Candidates are verified by cosine in double precision.  A pair that meets in
-several lists counts in the one of its smallest shared pivots, so link counts are summed without listing pairs; only a
-spanning forest of the links leaves a task.  Long lists are dealt in chunks, all pairs of chunks compared.
+Reference points (pivots) are chosen, far apart from each other, from a bounded sample; their number grows with the root
+of the number of vectors, so lists stay short.  A vector is described by the beginning of its permutation: its ``near``
+nearest pivots in order of nearness.  The inverted lists are keyed by label and pivot and hold the descriptions.  Within
+a list, the pivots that two vectors share are counted, then those of them whose places in the two orders differ by at
+most ``slip``; pairs with ``shared`` such pivots are candidates, and are verified by cosine in double precision.  A pair
+that meets in several lists counts in that of the least pivot so shared, so link counts are summed without listing pairs;
+only a spanning forest of the links leaves a task.  Long lists are dealt in chunks, all pairs of chunks compared.
+
+Two vectors in random directions at a cosine of 0.98 share three of eight pivots in that way with a probability of 0.98
+at least (16 to 256 components, 128 to 8192 pivots; the lower dimension and more pivots have the least).
 
 Equal vectors of a label are one class with a weight; they link with each other.  Vectors of different lengths are not
 compared.  Null labels and vectors that are null, zero, or hold null or non-finite components link with nothing and are
@@ -13,8 +18,8 @@ their own component.  An empty table gives no rows; other columns stay out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +75,26 @@ def _unit(blobs, kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def lists(classes: DataFrame, index: dict[int, np.ndarray], pivots: int, near: int, shared: int, kind: str) -> DataFrame:
-    """(label, dim, list, rep, weight, low, high) for each list a class is in; low and high: its pivots as bits."""
+def number_of_pivots(classes: int, least: int, most: int) -> int:
+    """Four times the root of the number of vectors, so that a list has about two times the root of it."""
+    return min(most, max(least, 4 * math.isqrt(classes)))
+
+
+def describe(unit: np.ndarray, base: np.ndarray, near: int) -> np.ndarray:
+    """The ``near`` nearest of the pivots of each vector, the nearest first, equal ones by number; -1 where there are fewer."""
+    n = min(near, len(base))
+    out = np.full((len(unit), near), -1, np.int32)
+    for at in range(0, len(unit), 1024):
+        close = unit[at : at + 1024] @ base.T
+        top = np.sort(np.argpartition(-close, n - 1, axis=1)[:, :n], axis=1)
+        order = np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable")
+        out[at : at + 1024, :n] = np.take_along_axis(top, order, 1)
+    return out
+
+
+def lists(classes: DataFrame, index, pivots: int, near: int, kind: str) -> DataFrame:
+    """(label, dim, list, rep, weight, order): a class in the list of each of its nearest pivots; order: these, in order.
+    index: a broadcast of the pivots for each number of components."""
     size = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,61 +103,63 @@ def lists(classes: DataFrame, index: dict[int, np.ndarray], pivots: int, near: i
             dims = np.array([len(v) // size for v in vec])
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
-                base = index.get(dim)
+                base = index.value.get(dim)
                 if base is None:
                     base = choose(np.zeros((0, dim)), pivots)
                 for at in range(0, len(rows), 4096):
                     own = rows[at : at + 4096]
-                    n = min(near, len(base))
-                    top = np.sort(np.argpartition(-(_unit(vec[own], kind) @ base.T), n - 1, axis=1)[:, :n], axis=1)
-                    bits = np.zeros((len(own), 2), np.uint64)
-                    for k in range(n):
-                        np.bitwise_or.at(bits, (np.arange(len(own)), top[:, k] // 64), np.uint64(1) << (top[:, k] % 64).astype(np.uint64))
-                    combos = np.array(list(combinations(range(n), min(shared, n))))
-                    keys = np.zeros((len(own), len(combos)), np.int64)
-                    for k in range(combos.shape[1]):
-                        keys = keys * 128 + top[:, combos[:, k]]
-                    i = np.repeat(np.arange(len(own)), len(combos))
+                    order = describe(_unit(vec[own], kind), base, near)
+                    i, place = np.nonzero(order >= 0)
+                    prefix = np.array([r.tobytes() for r in order], object)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(label[own][i]), pa.array(np.full(len(i), dim)), pa.array(keys.ravel()), pa.array(rep[own][i]), pa.array(weight[own][i]), pa.array(bits[i, 0].view(np.int64)), pa.array(bits[i, 1].view(np.int64))],
-                        ["label", "dim", "list", "rep", "weight", "low", "high"],
+                        [pa.array(label[own][i]), pa.array(np.full(len(i), dim)), pa.array(order[i, place].astype(np.int64)), pa.array(rep[own][i]), pa.array(weight[own][i]), pa.array(prefix[i], pa.binary())],
+                        ["label", "dim", "list", "rep", "weight", "order"],
                     )
 
-    return classes.select("label", "rep", "weight", "vec").mapInArrow(run, "label long, dim long, list long, rep long, weight long, low long, high long")
-
-
-def _smallest(low: np.ndarray, high: np.ndarray, shared: int) -> np.ndarray:
-    """The list of the ``shared`` smallest pivots in each pair of bit words."""
-    low, high, out = low.copy(), high.copy(), np.zeros(len(low), np.int64)
-    one = np.uint64(1)
-    for _ in range(shared):
-        first = low != 0
-        word = np.where(first, low, high)
-        lowest = word & (~word + one)
-        out = out * 128 + np.where(first, 0, 64) + np.bitwise_count(lowest - one)
-        low = np.where(first, low ^ lowest, low)
-        high = np.where(first, high, high ^ lowest)
-    return out
-
-
-def verified(rows: DataFrame, classes: DataFrame, least: float, shared: int, most: int, kind: str) -> DataFrame:
+    return classes.select("label", "rep", "weight", "vec").mapInArrow(run, "label long, dim long, list long, rep long, weight long, order binary")
+
+
+def candidates(left: np.ndarray, right: np.ndarray, pivot: int, shared: int, slip: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of pairs of the orders left and right with ``shared`` common pivots, at places that differ by
+    ``slip`` at most, of which ``pivot`` is the least.  Common pivots are counted by one product of incidence matrices."""
+    known, at = np.unique(right, return_inverse=True)
+    at = at.reshape(right.shape)
+    held = np.zeros((len(right), len(known)), np.float32)
+    held[np.arange(len(right))[:, None], at] = right >= 0
+    where = np.minimum(np.searchsorted(known, left), len(known) - 1)
+    own = np.zeros((len(left), len(known)), np.float32)
+    np.maximum.at(own, (np.arange(len(left))[:, None], where), ((known[where] == left) & (left >= 0)).astype(np.float32))
+    i, j = np.nonzero(own @ held.T >= shared)
+    place = np.arange(left.shape[1])
+    close = np.abs(place[:, None] - place[None, :]) <= slip
+    keep = np.zeros(len(i), bool)
+    for k in range(0, len(i), 65_536):
+        a, b = left[i[k : k + 65_536]], right[j[k : k + 65_536]]
+        same = ((a[:, :, None] == b[:, None, :]) & close & (a >= 0)[:, :, None]).any(axis=2)
+        least = np.where(same, a, np.iinfo(np.int32).max).min(axis=1)
+        keep[k : k + 65_536] = (same.sum(axis=1) >= shared) & (least == pivot)
+    return i[keep], j[keep]
+
+
+def verified(rows: DataFrame, classes: DataFrame, least: float, shared: int, slip: int, near: int, most: int, kind: str) -> DataFrame:
     """(a, b, n): n is what b's and others' weights add to a's links where b is null; else a and b are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, cuts in common.runs(batches, 5):
-            _, _, key, c, d, own, rep, weight, low, high, vec = cols
-            low, high = low.view(np.uint64), high.view(np.uint64)
+            _, _, key, c, d, own, rep, weight, order, vec = cols
             for s, e in zip(cuts, cuts[1:], strict=False):
                 unit, w, ids, cross = _unit(vec[s:e], kind), weight[s:e], rep[s:e], c[s] != d[s]
+                prefix = np.frombuffer(b"".join(order[s:e]), np.int32).reshape(-1, near)
                 add, a, b = np.zeros(e - s, np.int64), [], []
                 root = np.arange(e - s)
                 for at in range(0, e - s, 512):
-                    i, j = np.nonzero(unit[at : at + 512] @ unit.T >= least)
-                    i += at
-                    keep = (i < j) & ((own[s + i] != own[s + j]) if cross else True)
-                    i, j = i[keep], j[keep]
-                    keep = _smallest(low[s + i] & low[s + j], high[s + i] & high[s + j], shared) == key[s]
+                    i, j = candidates(prefix[at : at + 512], prefix, int(key[s]), shared, slip)
+                    keep = (i + at < j) & ((own[s + i + at] != own[s + j]) if cross else True)
                     i, j = i[keep], j[keep]
+                    if not len(i):
+                        continue
+                    keep = (unit[at : at + 512] @ unit.T)[i, j] >= least
+                    i, j = i[keep] + at, j[keep]
                     np.add.at(add, i, w[j])
                     np.add.at(add, j, w[i])
                     fresh = root[i] != root[j]
@@ -151,19 +176,22 @@ def verified(rows: DataFrame, classes: DataFrame, least: float, shared: int, mos
     return common.dealt(rows, ["label", "dim", "list"], "rep", most, classes.select("rep", "vec")).mapInArrow(run, "a long, b long, n long")
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.98, pivots: int = 128, near: int = 6, shared: int = 2, sample: int = 4096, most: int = 1024) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row.  pivots (128 at most) are chosen from ``sample`` classes,
-    those with the least hash; every class is in the index."""
+def near_duplicates(rows: DataFrame, least: float = 0.98, near: int = 8, shared: int = 3, slip: int = 5, least_pivots: int = 128, most_pivots: int = 16_384, sample: int = 4096, most: int = 1024) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row.  Pivots, ``number_of_pivots`` of them, are chosen from
+    ``sample`` classes or twice as many as there are pivots, those with the least hash; every class is in the index.
+    Beyond ``most_pivots``, which bounds what workers hold, lists only get longer."""
     table = common.staged(vectors(rows), "vectors")
     good = table.where("vec IS NOT NULL AND label IS NOT NULL")
     # Classes have numbers of their own: an id may come with several vectors, or be null.
     grouped = good.groupBy("label", "vec").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
     classes = common.staged(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    drawn = [bytes(r.vec) for r in classes.orderBy(F.xxhash64("vec"), "rep").limit(sample).select("vec").collect()]
+    pivots = number_of_pivots(classes.count(), least_pivots, most_pivots)
+    drawn = [bytes(r.vec) for r in classes.orderBy(F.xxhash64("vec"), "rep").limit(max(sample, 2 * pivots)).select("vec").collect()]
     kind = component_kind(rows)
     size = np.dtype(kind).itemsize
     index = {n // size: choose(_unit([v for v in drawn if len(v) == n], kind), pivots) for n in {len(v) for v in drawn}}
-    found = common.staged(verified(lists(classes, index, pivots, near, shared, kind), classes, least, shared, most, kind), "found")
+    held = lists(classes, rows.sparkSession.sparkContext.broadcast(index), pivots, near, kind)
+    found = common.staged(verified(held, classes, least, shared, slip, near, most, kind), "found")
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     linked = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "rep")
     rooted = classes.join(counts, "rep", "left").join(linked, "rep", "left").withColumn("root", F.coalesce("component", "rep"))

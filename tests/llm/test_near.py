@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -132,14 +133,49 @@ def test_one_id_with_several_vectors(spark):
     assert [(r.vec_id, r.n_links) for r in pivots.near_duplicates(wide).orderBy("vec_id").collect()] == [(1, 1), (2, 1), (3, 0)]
 
 
-def test_recall_on_a_table(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").limit(10_000)
-    got = {r.vec_id: r.n_links for r in pivots.near_duplicates(rows).collect()}
-    data = rows.collect()
-    x, g = np.array([r.embedding for r in data], float), np.array([r.label for r in data])
+def near_threshold(groups, dim, seed):
+    """Vectors of three labels, each followed by three at cosines of 0.98 to 0.985 with it."""
+    rng, rows = np.random.default_rng(seed), []
+    for k in range(groups):
+        x = rng.normal(size=dim)
+        x /= np.linalg.norm(x)
+        rows.append((4 * k, x, k % 3))
+        for j, c in enumerate((0.9802, 0.982, 0.985), 1):
+            e = rng.normal(size=dim)
+            e -= (e @ x) * x
+            rows.append((4 * k + j, c * x + (1 - c * c) ** 0.5 * e / np.linalg.norm(e), k % 3))
+    return [(i, x.astype(np.float32).tolist(), g) for i, x, g in rows]
+
+
+@pytest.mark.parametrize("dim", [24, 96])
+@pytest.mark.parametrize("pivots_", [128, 2048])
+def test_recall_of_links_at_the_threshold(spark, dim, pivots_):
+    rows = near_threshold(1000, dim, dim)
+    got = pivots.near_duplicates(vectors(spark, rows), least_pivots=pivots_)
+    found = got.agg(F.sum("n_links")).first()[0]
+    x, g = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    total = sum(int((x[g == k] @ x[g == k].T >= 0.98).sum()) - int((g == k).sum()) for k in set(g))
-    assert sum(got.values()) >= 0.9 * total and sum(got.values()) <= total
+    total = sum(int((x[g == k] @ x[g == k].T >= 0.98).sum()) - int((g == k).sum()) for k in set(g.tolist()))
+    assert total >= 6000 and 0.9 * total <= found <= total
+
+
+def test_permutation_prefixes():
+    base = pivots.choose(np.eye(4), 4)
+    x = np.array([[0.9, 0.5, 0.3, 0.1], [0.1, 0.2, 0.3, 0.9]])
+    order = pivots.describe(x, base, 3)
+    assert [[int(base[p].argmax()) for p in o] for o in order] == [[0, 1, 2], [3, 2, 1]]
+    assert pivots.describe(x, base, 6)[:, 4:].tolist() == [[-1, -1]] * 2
+    rng = np.random.default_rng(1)
+    left, right = (np.array([rng.permutation(12)[:5] for _ in range(40)], np.int32) for _ in "ab")
+    for pivot in range(12):
+        want = set()
+        for i, a in enumerate(left.tolist()):
+            for j, b in enumerate(right.tolist()):
+                same = [p for p in a if p in b and abs(a.index(p) - b.index(p)) <= 2]
+                if len(same) >= 2 and min(same) == pivot:
+                    want.add((i, j))
+        assert set(zip(*(k.tolist() for k in pivots.candidates(left, right, pivot, 2, 2)), strict=True)) == want
+    assert [pivots.number_of_pivots(n, 128, 16_384) for n in (0, 1024, 10**6, 10**12)] == [128, 128, 4000, 16_384]
 
 
 def test_no_vectors(spark):
