@@ -7,14 +7,19 @@ token at its own start.  A later position can only be reached through one of the
 their chains of tokens meet, everything before the meeting point is stable and is emitted.  ``lookahead`` is computed
 from the merge list; the buffer holds about that many symbols, whatever the length of the input.
 
-Texts: null and empty ones have no ids.  Texts with characters whose normal form depends on their neighbours, or with
-one of the special tokens, are encoded by the tokenizers library itself, whole; all others take the vectorised path.
+Texts: null and empty ones have no ids.  Texts are read a few megabytes at a time and brought to normal form there.  A
+special token's string is its id and a border.  Only a stretch between blanks that holds a character which Python's
+Unicode does not assign, or one of the few marks that the library's older tables order or compose otherwise, is left to
+the tokenizers library; tests compare code points of all planes.
+
+Decoding is a state machine: token strings in, text out, holding the bytes of a character that is not complete.
 """
 
 from __future__ import annotations
 
 import codecs
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -35,21 +40,42 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class and lower case of each character of the basic plane; SLOW where one character alone does not settle its normal form."""
-    kind = np.full(0x10000, SLOW, np.uint8)
-    lower = np.arange(0x10000, dtype=np.uint32)
-    spans = ((0, 0x300), (0x370, 0x483), (0x48A, 0x530), (0x2000, 0x2C00), (0x3000, 0xA000), (0xFF01, 0xFFEF))
-    for c in chain.from_iterable(range(*s) for s in spans):
-        x = chr(c)
-        cat, low = unicodedata.category(x), x.lower()
-        if cat in ("Cn", "Co", "Cs") or unicodedata.combining(x) or unicodedata.normalize("NFC", x) != x or len(low) != 1:
+    """Class and lower case of each code point of a text in normal form; SLOW where none is assigned.  U+0130, the only
+    one with a lower case of two characters, is replaced before."""
+    kind = np.full(0x110000, OTHER, np.uint8)
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x110000):
+        cat = unicodedata.category(x := chr(c))
+        if cat[0] == "L":
+            kind[c] = LETTER
+        elif cat[0] == "N":
+            kind[c] = NUMBER
+        elif cat == "Cn":
+            kind[c] = SLOW
             continue
-        white = 9 <= c <= 13 or c in (0x20, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000) or 0x2000 <= c <= 0x200A
-        kind[c] = SPACE if white else LETTER if cat[0] == "L" else NUMBER if cat[0] == "N" else OTHER
-        lower[c] = ord(low)
+        if cat in ("Lu", "Lt", "Nl", "So") and len(low := x.lower()) == 1:
+            lower[c] = ord(low)
+    kind[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
     return kind, lower
 
 
+def odd_marks(normalize) -> set[int]:
+    """Marks that another implementation of the normal form, of an older Unicode, does not order or compose as Python's does."""
+    out: set[int] = set()
+    for c in range(0x300, 0x110000):
+        x = chr(c)
+        if unicodedata.combining(x):
+            if any(normalize(t) != unicodedata.normalize("NFC", t) for t in (f"a{x}\u0301", f"a{x}\u0323", f"a{x}\u0334", f"a\u0345{x}", f"a\u0301{x}")):
+                out.add(c)
+        elif (parts := unicodedata.decomposition(x)) and parts[0] != "<" and normalize(flat := unicodedata.normalize("NFD", x)) != unicodedata.normalize("NFC", flat):
+            out |= {c, ord(flat[-1])}
+    return out
+
+
+def normal(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("\u0130", "i\u0307")
+
+
 class Merges:
     """The merge list as a relation between tokens, and what follows from it."""
 
@@ -130,7 +156,6 @@ class Transducer:
 
     def __init__(self, merges: Merges, known: dict[tuple[str, str], bool] | None = None, most_known: int = 1_000_000):
         self.merges, self.known, self.most_known = merges, {} if known is None else known, most_known
-        self.root, self.nodes, self.most_nodes = [None, {}], 0, 150_000
         self.reset()
 
     def reset(self) -> None:
@@ -185,46 +210,6 @@ class Transducer:
             ok = known[token, ""] = parts is None or greedy(self.merges, token) == [token]
         return ok
 
-    def word(self, symbols: str) -> list[str]:
-        """The tokens of a short word.  States that words pass through from their start are kept in a tree of bounded
-        size, so a common beginning is advanced over once."""
-        if self.nodes > self.most_nodes:
-            self.root, self.nodes = [None, {}], 0
-        node, path, n = self.root, [self.root], len(symbols)
-        for i in range(1, n):
-            branch = node[1]
-            node = branch.get(symbols[i - 1])
-            if node is None:
-                node = branch[symbols[i - 1]] = [self._last(symbols, i, path), {}]
-                self.nodes += 1
-            path.append(node)
-        out, at, token = [], n, self._last(symbols, n, path)
-        while True:
-            out.append(token)
-            at -= len(token)
-            if not at:
-                return out[::-1]
-            token = path[at][0]
-
-    def _last(self, text: str, i: int, path: list) -> str:
-        m, known = self.merges, self.known
-        tokens = m.tokens
-        for n in m.lengths.get(text[max(0, i - 2) : i], (1,)):
-            if n < i:
-                t = text[i - n : i]
-                if t in tokens:
-                    before = path[i - n][0]
-                    fit = known.get((before, t))
-                    if fit is None:
-                        if len(known) >= self.most_known:
-                            known.clear()
-                        fit = known[before, t] = m.fits(before, t)
-                    if fit:
-                        return t
-            elif n == i and text[:i] in tokens and self.whole(text[:i]):
-                return text[:i]
-        return text[i - 1]
-
     def _emit(self) -> list[str]:
         """Emits up to the position at which the chains of all positions within reach meet."""
         last, n = self.last, len(self.text)
@@ -295,6 +280,27 @@ class ByteText:
         return self._state.decode(b"", True)
 
 
+class Decoder:
+    """Ids in, text out: each id's bytes, ``between`` them, through ByteText.  Its state is that and whether it has begun."""
+
+    def __init__(self, of_id: list[bytes], between: bytes = b""):
+        self.of_id, self.between, self.begun, self.state = of_id, between, False, ByteText()
+
+    def feed(self, ids: Iterable[int]) -> str:
+        of_id = self.of_id
+        parts = [of_id[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]
+        if not parts:
+            return ""
+        if self.begun:
+            parts.insert(0, b"")
+        self.begun = True
+        return self.state.feed(self.between.join(parts))
+
+    def close(self) -> str:
+        self.begun = False
+        return self.state.close()
+
+
 class WordBPE:
     """Encodes and decodes texts by a word-end BPE vocabulary file of the tokenizers library."""
 
@@ -303,7 +309,8 @@ class WordBPE:
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self._border = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         strings = dict(model["vocab"]) | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = [b""] * (max(strings.values()) + 1)
         for t, i in strings.items():
@@ -316,6 +323,9 @@ class WordBPE:
         for t in spec["added_tokens"]:
             self.raw[t["id"]] = t["content"].encode() + b" "
         self.kind, self.lower = _tables()
+        from tokenizers import normalizers
+
+        self.kind[list(odd_marks(normalizers.NFC().normalize_str))] = SLOW
         self.words: dict[str, tuple[int, ...]] = {}
         self.transducer = Transducer(self.merges)
         self.merge_core = None if streaming else _merge_core(self.merges)
@@ -339,13 +349,8 @@ class WordBPE:
                 core, of_rank = self.merge_core
                 ids = tuple([of_rank[r] for r in core.encode_single_piece(data + b"\xff")])
             else:
-                symbols = data[:-1].decode("latin-1") + chr(data[-1] + END)
-                if len(symbols) <= 64:
-                    tokens = t.word(symbols)
-                else:
-                    t.reset()
-                    tokens = t.feed(symbols)
-                    tokens += t.close()
+                tokens = t.feed(data[:-1].decode("latin-1") + chr(data[-1] + END))
+                tokens += t.close()
                 ids = tuple(map(self.merges.ids.__getitem__, tokens))
             if len(word) <= 64:
                 if len(self.words) >= self.most_words:
@@ -357,68 +362,87 @@ class WordBPE:
         return next(iter(self.encode_all(pa.array([text], pa.string()))))
 
     def encode_all(self, texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit integers; works through a few megabytes at a time.  A longer text is
-        read in pieces that end before a space or line feed, over which no word goes."""
+        """The ids of each text, as unsigned 32-bit integers."""
+        held = []
+        for ids, last in self.emitted(texts, most_bytes):
+            held.append(ids)
+            if last:
+                yield held[0] if len(held) == 1 else np.concatenate(held)
+                held = []
+
+    def emitted(self, texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[np.ndarray, bool]]:
+        """Ids as they come, and whether they end a text; works through a few megabytes at a time.  A longer text is read
+        in pieces that end before a space or line feed, over which no word goes."""
         texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = memoryview(texts.buffers()[2]) if texts.buffers()[2] is not None else memoryview(b"")
         at = 0
         while at < len(texts):
             if offsets[at + 1] - offsets[at] > 2 * most_bytes:
-                yield np.concatenate([ids for piece in self._pieces(texts, offsets, at, most_bytes) for ids in piece])
+                low, end = int(offsets[at]), int(offsets[at + 1])
+                while low < end:
+                    high = self._blank(data, low, end, most_bytes)
+                    yield self._encode_part([bytes(data[low:high]).decode("utf-8", "replace")])[0], high == end
+                    low = high
                 at += 1
                 continue
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
-            yield from self._encode_part(texts.slice(at, end - at), offsets[at : end + 1])
+            raw, cuts = bytes(data[int(offsets[at]) : int(offsets[end])]), (offsets[at : end + 1] - offsets[at]).tolist()
+            for ids in self._encode_part([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]):
+                yield ids, True
             at = end
 
-    def _pieces(self, texts: pa.Array, offsets: np.ndarray, at: int, size: int) -> Iterator[list[np.ndarray]]:
-        data, low, end = memoryview(texts.buffers()[2]), int(offsets[at]), int(offsets[at + 1])
-        while low < end:
-            high = end
-            for start in range(low + size, end, size):
-                blank = [x for x in (bytes(data[start : start + size]).find(c) for c in (b" ", b"\n")) if x >= 0]
-                if blank:
-                    high = min(end, start + min(blank))
-                    break
-            piece = pa.array([bytes(data[low:high])], pa.binary()).cast(pa.large_string())
-            yield self._encode_part(piece, np.frombuffer(piece.buffers()[1], np.int64)[:2])
-            low = high
-
-    def _encode_part(self, texts: pa.Array, offsets: np.ndarray) -> list[np.ndarray]:
-        data = texts.buffers()[2]
-        raw = bytes(memoryview(data)[int(offsets[0]) : int(offsets[-1])]) if data is not None else b""
-        n = len(offsets) - 1
-        starts = offsets - offsets[0]
-        text = raw.decode("utf-8", "replace")
-        chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        if len(text) == len(raw):
-            bounds = starts
-        else:
-            count = np.zeros(len(raw) + 1, np.int64)
-            np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=count[1:])
-            bounds = count[starts]
-        kind = self.kind[np.minimum(chars, 0xFFFF)]
-        kind[chars > 0xFFFF] = SLOW
-        bad = np.zeros(n, bool)
+    @staticmethod
+    def _blank(data: memoryview, low: int, end: int, size: int) -> int:
+        for start in range(low + size, end, size):
+            found = [x for x in (bytes(data[start : start + size]).find(c) for c in (b" ", b"\n")) if x >= 0]
+            if found:
+                return min(end, start + min(found))
+        return end
+
+    def _encode_part(self, texts: list[str]) -> list[np.ndarray]:
+        given, text = texts, "".join(texts)
+        special = [any(s in t for s in self.special) for t in texts] if "<" in text and any(s in text for s in self.special) else None
+        if not text.isascii() and not (unicodedata.is_normalized("NFC", text) and "\u0130" not in text):
+            texts = [t if t.isascii() else normal(t) for t in texts]
+            text = "".join(texts)
+        bounds = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) for t in texts], out=bounds[1:])
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = self.kind[chars]
+        bad = np.zeros(len(texts), bool)
         if len(slow := np.flatnonzero(kind == SLOW)):
             bad[np.unique(np.searchsorted(bounds, slow, "right") - 1)] = True
-        for s in self.special:
-            at = raw.find(s)
-            while at >= 0:
-                bad[np.searchsorted(starts, at, "right") - 1] = True
-                at = raw.find(s, at + 1)
-        if bad.any():
-            kind = kind.copy()
-            for d in np.flatnonzero(bad):
-                kind[bounds[d] : bounds[d + 1]] = SPACE
-        fast = self._encode_fast(chars, kind, bounds)
+        if special is not None:
+            bad |= np.array(special)
         for d in np.flatnonzero(bad):
-            fast[d] = np.array(self.library().encode(texts[int(d)].as_py(), add_special_tokens=False).ids, np.uint32)
-        return fast
+            kind[bounds[d] : bounds[d + 1]] = SPACE
+        out = self._encode_fast(chars, kind, bounds)
+        for d in np.flatnonzero(bad):
+            out[d] = self._mixed(given[d])
+        return out
+
+    def _mixed(self, text: str) -> np.ndarray:
+        """Special tokens as their ids; stretches with unassigned characters, from blank to blank, by the library."""
+        out: list[np.ndarray] = []
+        for piece in self._border.split(text) if self._border else [text]:
+            if piece in self.special:
+                out.append(np.array([self.special[piece]], np.uint32))
+                continue
+            held: list[str] = []
+            for stretch in re.split("(?<=[ \n])", piece):
+                if (self.kind[np.frombuffer(stretch.encode("utf-32-le", "surrogatepass"), "<u4")] == SLOW).any():
+                    out += self._encode_part(["".join(held)])
+                    held = []
+                    out.append(np.array(self.library().encode(stretch, add_special_tokens=False).ids, np.uint32))
+                else:
+                    held.append(stretch)
+            out += self._encode_part(["".join(held)])
+        return np.concatenate([*out, np.zeros(0, np.uint32)])
 
     def _encode_fast(self, chars: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         n = len(bounds) - 1
-        low = self.lower[np.minimum(chars, 0xFFFF)]
+        low = self.lower[chars]
         start = np.empty(len(chars) + 1, bool)
         start[0], start[-1] = True, True
         np.not_equal(kind[1:], kind[:-1], out=start[1:-1])
@@ -439,9 +463,9 @@ class WordBPE:
         keep = kind != SPACE
         begins = np.flatnonzero(start[:-1] & keep)
         kept = low[keep]
-        data = kept.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+        data = kept.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")
         order = np.cumsum(keep) - 1
-        width = 1 + (kept > 0x7F).astype(np.int64) + (kept > 0x7FF)
+        width = 1 + (kept > 0x7F).astype(np.int64) + (kept > 0x7FF) + (kept > 0xFFFF)
         byte_at = np.zeros(len(kept) + 1, np.int64)
         np.cumsum(width, out=byte_at[1:])
         offsets = np.append(byte_at[order[begins]], byte_at[-1]).astype(np.int32)
@@ -461,21 +485,13 @@ class WordBPE:
 
     # decoding
 
-    def decode(self, ids: Iterable[int]) -> Iterator[bytes]:
-        """What the library's decode gives for this vocabulary (token strings, spaces between), in pieces."""
-        ids = np.asarray(ids)
-        strings = self.strings
-        for at in range(0, len(ids), 65_536):
-            yield (b" " if at else b"") + b" ".join([strings[i] for i in ids[at : at + 65_536].tolist()])
-
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
-        """The text that ids stand for, word ends as spaces; bytes turn to text as soon as a character is complete."""
-        state = ByteText()
-        for i in ids:
-            if piece := state.feed(self.raw[i]):
-                yield piece
-        if piece := state.close():
-            yield piece
+    def decoder(self) -> Decoder:
+        """What the library's decode gives for this vocabulary: token strings with spaces between."""
+        return Decoder(self.strings, b" ")
+
+    def text_decoder(self) -> Decoder:
+        """The text that ids stand for, word ends as spaces."""
+        return Decoder(self.raw)
 
 
 _loaded: dict[tuple[str, bool], WordBPE] = {}
