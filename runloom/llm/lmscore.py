@@ -1,16 +1,19 @@
-"""Cross-entropy difference by two matched bigram models.
+"""Cross-entropy difference by two matched bigram models, each document left out of the models that score it.
 
 Target and background models have one vocabulary (the tokenizer's), one order and one smoothing: Witten-Bell bigrams
-over unigrams with one added to every count.  Counts are taken over all documents of either corpus.  A document's score
-is its mean loss per token under the target model less that under the background model, in nats: the lower, the more
-like the target.
-
-Token ids are written once, compressed, and read for counting and for scoring.  The model is a table of the bigrams that
-occur, with both losses.  Up to ``most_broadcast`` rows it goes to the workers as sorted arrays; beyond, each document's
-bigrams are joined with it.  Both ways give the same scores.
-
-Null and empty texts have no tokens and score zero; repeated rows count and are scored each for itself; an empty
-target leaves its model with the added counts alone; empty tables give no rows; other columns stay out.
+over unigrams with one added to every count.  Counts are taken over all documents of either corpus; a document's own
+counts are taken off again (bigrams, contexts, kinds, unigrams and totals) before it is scored, from the target's too if
+it is in that, so a score does not say which sample a document was in.  The score is the mean loss per token under the
+target model less that under the background model, in nats: the lower, the more like the target.  A document that occurs
+twice is known to the background by its copy.
+
+Token ids are written once, compressed, with the mark of the target corpus, and read for counting and for scoring.  Up to
+``most_broadcast`` bigrams the counts go to the workers as sorted arrays; beyond, each document's bigrams are joined with
+them and gathered again by document.  Both ways give the same scores.
+
+Null and empty texts have no tokens and score zero; repeated rows count and are scored each for itself, its copies staying
+in the models; an empty target leaves its model with the added counts alone; empty tables give no rows; other columns,
+whatever their names, stay out; equal scores are no ties to break.
 """
 
 from __future__ import annotations
@@ -92,51 +95,92 @@ def counts(rows: DataFrame, start: int, most: int = 2_000_000) -> DataFrame:
     return partial.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def model(counted: DataFrame, vocabulary: int) -> DataFrame:
-    """(key, target, background): the losses of every bigram that either corpus has."""
+COUNTS = ("b", "t", "b_all", "b_kinds", "t_all", "t_kinds", "b_one", "t_one")
+
+
+def model(counted: DataFrame) -> DataFrame:
+    """(key, COUNTS): of every bigram that either corpus has, its counts, those of its context (and how many kinds follow
+    it), and those of its second token; b: background, t: target."""
     c = counted.select("key", F.shiftright("key", SHIFT).alias("u"), F.col("key").bitwiseAND((1 << SHIFT) - 1).alias("v"), F.col("background").alias("b"), F.col("target").alias("t"))
     context = c.groupBy("u").agg(*[f(x).alias(f"{x}_{n}") for x in "bt" for n, f in (("all", F.sum), ("kinds", lambda x: F.count_if(F.col(x) > 0)))])
     single = c.groupBy("v").agg(F.sum("b").alias("b_one"), F.sum("t").alias("t_one"))
-    whole = c.agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
+    return c.join(context, "u").join(single, "v").select("key", *COUNTS)
+
 
-    def loss(x: str):
-        one = (F.col(f"{x}_one") + 1) / ((whole[x] or 0) + vocabulary)
-        kinds = F.col(f"{x}_kinds")
-        return F.when(kinds == 0, -F.log(one)).otherwise(-F.log((F.col(x) + kinds * one) / (F.col(f"{x}_all") + kinds)))
+def losses(own: np.ndarray, times: np.ndarray, cells: dict[str, np.ndarray], whole: dict[str, int], vocabulary: int, target: bool) -> tuple[float, float]:
+    """Sums of losses of a document's bigrams (own: distinct keys) under target and background without the document."""
+    u, v = (np.unique(x, return_inverse=True)[1] for x in (own >> SHIFT, own & ((1 << SHIFT) - 1)))
+    by_u, by_v, n = np.bincount(u, times)[u], np.bincount(v, times)[v], int(times.sum())
+    out = []
+    for x, held in (("t", int(target)), ("b", 1)):
+        count = cells[x] - held * times
+        kinds = cells[f"{x}_kinds"] - held * np.bincount(u, count == 0)[u]
+        one = (cells[f"{x}_one"] - held * by_v + 1) / (whole[x] - held * n + vocabulary)
+        context = cells[f"{x}_all"] - held * by_u
+        p = np.where(kinds > 0, (count + kinds * one) / np.maximum(context + kinds, 1), one)
+        out.append(float(-(np.log(p) * times).sum()))
+    return out[0], out[1]
 
-    return c.join(context, "u").join(single, "v").select("key", loss("t").alias("target"), loss("b").alias("background"))
 
+SCORED = "doc_id long, n_tokens long, t double, b double"
 
-def _by_arrays(rows: DataFrame, losses: DataFrame, start: int) -> DataFrame:
-    got = losses.orderBy("key").toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast(tuple(got[c].to_numpy() for c in ("key", "target", "background")))
+
+def _by_arrays(rows: DataFrame, counted: DataFrame, whole: dict[str, int], start: int, vocabulary: int) -> DataFrame:
+    got = counted.orderBy("key").toPandas()
+    keys, pairs = got["key"].to_numpy(), {"b": got["background"].to_numpy(), "t": got["target"].to_numpy()}
+    u, v = keys >> SHIFT, keys & ((1 << SHIFT) - 1)
+    ends = {}
+    for x, c in pairs.items():
+        ends |= {f"{x}_all": np.bincount(u, c, start + 1), f"{x}_kinds": np.bincount(u, c > 0, start + 1), f"{x}_one": np.bincount(v, c, start + 1)}
+    shared = rows.sparkSession.sparkContext.broadcast((keys, pairs, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, target, background), unpack = shared.value, zstandard.ZstdDecompressor()
+        (keys, pairs, ends), unpack = shared.value, zstandard.ZstdDecompressor()
         for batch in batches:
             t, b = [], []
-            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for n, blob, target in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 own, times = np.unique(_bigrams(unpack, blob, n, start), return_counts=True)
-                at = np.searchsorted(keys, own)
-                t.append(float((target[at] * times).sum()) if n else 0.0)
-                b.append(float((background[at] * times).sum()) if n else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t), pa.array(b)], ["doc_id", "n_tokens", "t", "b"])
+                at, u, v = np.searchsorted(keys, own), own >> SHIFT, own & ((1 << SHIFT) - 1)
+                cells = {x: c[at] for x, c in pairs.items()} | {x: c[v if x.endswith("one") else u] for x, c in ends.items()}
+                x, y = losses(own, times, cells, whole, vocabulary, target) if n else (0.0, 0.0)
+                t.append(x), b.append(y)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t, pa.float64()), pa.array(b, pa.float64())], ["doc_id", "n_tokens", "t", "b"])
 
-    return rows.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, t double, b double")
+    return rows.select("doc_id", "n_tokens", "ids", "target").mapInArrow(run, SCORED)
 
 
-def _by_join(rows: DataFrame, losses: DataFrame, start: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+def _by_join(rows: DataFrame, counted: DataFrame, whole: dict[str, int], start: int, vocabulary: int) -> DataFrame:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, held, size = zstandard.ZstdDecompressor(), [], 0
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["row", "key", "times"])
         for batch in batches:
             for row, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own, times = np.unique(_bigrams(unpack, blob, n, start), return_counts=True)
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row)), pa.array(own), pa.array(times)], ["row", "key", "times"])
-
-    parts = rows.select("row", "n_tokens", "ids").mapInArrow(run, "row long, key long, times long").join(losses, "key")
-    sums = parts.groupBy("row").agg(F.sum(F.col("target") * F.col("times")).alias("t"), F.sum(F.col("background") * F.col("times")).alias("b"))
-    return rows.select("row", "doc_id", "n_tokens").join(sums, "row", "left").select("doc_id", "n_tokens", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("b", F.lit(0.0)).alias("b"))
+                    held.append((np.full(len(own), row), own, times))
+                    size += len(own)
+                if size > 100_000:
+                    yield table()
+                    held, size = [], 0
+        if held:
+            yield table()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, n, target, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cells:
+                    cols = {k: np.array([c[k] for c in cells]) for k in ("key", "times", *COUNTS)}
+                    out.append((doc_id, n, *losses(cols["key"], cols["times"], cols, whole, vocabulary, target)))
+                else:
+                    out.append((doc_id, n, 0.0, 0.0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "n_tokens", "t", "b"])
+
+    parts = rows.select("row", "n_tokens", "ids").mapInArrow(split, "row long, key long, times long").join(model(counted), "key")
+    # A document's cells are no more than its tokens.
+    gathered = parts.groupBy("row").agg(F.collect_list(F.struct("key", "times", *COUNTS)).alias("cells"))
+    return rows.select("row", "doc_id", "n_tokens", "target").join(gathered, "row", "left").select("doc_id", "n_tokens", "target", "cells").mapInArrow(score, SCORED)
 
 
 def score(docs: DataFrame, target_ids: DataFrame, path: str | None = None, vocabulary: int = 49408, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -144,14 +188,15 @@ def score(docs: DataFrame, target_ids: DataFrame, path: str | None = None, vocab
 
     The target corpus is the documents whose ids are in target_ids (doc_id), the background all documents."""
     path = path or wordbpe.default_path()
-    rows = common.staged(token_rows(docs, path), "tokens")
-    target = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    flagged = rows.join(target.hint("shuffle_hash"), "doc_id", "left").select("n_tokens", "ids", F.coalesce("target", F.lit(False)).alias("target"), F.lit(True).alias("background"))
-    counted = common.staged(counts(flagged, vocabulary), "bigrams")
-    losses = common.staged(model(counted, vocabulary), "losses")
-    way = _by_arrays if losses.count() <= most_broadcast else _by_join
+    # Written, so that its size is known: a small list of ids is broadcast and no text's ids move.
+    target = common.staged(target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True)), "target")
+    rows = common.staged(token_rows(docs, path).join(target, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False))), "tokens")
+    counted = common.staged(counts(rows.withColumn("background", F.lit(True)), vocabulary), "bigrams")
+    sums = counted.agg(F.count("*").alias("n"), F.sum("background").alias("b"), F.sum("target").alias("t")).first()
+    way = _by_arrays if sums.n <= most_broadcast else _by_join
     n = F.greatest(F.col("n_tokens"), F.lit(1))
-    return way(rows, losses, vocabulary).select("doc_id", "n_tokens", (F.col("t") / n).alias("loss_target"), (F.col("b") / n).alias("loss_background"), ((F.col("t") - F.col("b")) / n).alias("score"))
+    scored = way(rows, counted, {"b": sums.b or 0, "t": sums.t or 0}, vocabulary, vocabulary)
+    return scored.select("doc_id", "n_tokens", (F.col("t") / n).alias("loss_target"), (F.col("b") / n).alias("loss_background"), ((F.col("t") - F.col("b")) / n).alias("score"))
 
 
 def good_ids(labels: DataFrame) -> DataFrame:

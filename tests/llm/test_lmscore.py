@@ -14,8 +14,9 @@ def brute(rows, target):
     ids = [(i, coder.encode(t or "").tolist()) for i, t in rows]
     pairs = lambda x: list(zip([-1, *x], x, strict=False))
 
-    def losses(chosen):
-        two = Counter(p for i, x in ids if chosen(i) for p in pairs(x))
+    def loss_of(k, x, chosen):
+        """Under a model of all chosen rows but the k-th."""
+        two = Counter(p for j, (i, y) in enumerate(ids) if chosen(i) and j != k for p in pairs(y))
         one, whole = Counter(), sum(two.values())
         total, kinds = Counter(), Counter()
         for (u, v), n in two.items():
@@ -27,9 +28,9 @@ def brute(rows, target):
             p1 = (one[v] + 1) / (whole + 49408)
             return -math.log(p1) if not kinds[u] else -math.log((two[u, v] + kinds[u] * p1) / (total[u] + kinds[u]))
 
-        return [sum(loss(*p) for p in pairs(x)) / max(1, len(x)) for _, x in ids]
+        return sum(loss(*p) for p in pairs(x)) / max(1, len(x))
 
-    return sorted((i, len(x), t, b) for (i, x), t, b in zip(ids, losses(lambda i: i in target), losses(lambda i: True), strict=True))
+    return sorted((i, len(x), loss_of(k, x, lambda j: j in target), loss_of(k, x, lambda j: True)) for k, (i, x) in enumerate(ids))
 
 
 @pytest.mark.parametrize("most", [4_000_000, 0])
@@ -43,3 +44,16 @@ def test_scores(spark, most, target):
 
 def test_empty(spark):
     assert lmscore.score(documents(spark, []), spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+def test_a_copy_is_known_and_a_sample_is_not(spark):
+    """Rows alike but for their words: being in the target changes no score of its own; having a copy does."""
+    rng = __import__("random").Random(3)
+    words = [f"{a}{b}" for a in ("sun", "rain", "wood", "stone", "bird", "fish") for b in ("light", "fall", "land", "work", "song", "pool")]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(60))) for k in range(40)]
+    rows += [(100, "zebra quartz violin jumps over lazy fox " * 3), (101, rows[-1][1]), (102, "zygote kilo wax mud fern lynx bulb " * 3)]
+    rows.append((103, rows[-3][1]))
+    got = {r.doc_id: r.score for r in lmscore.score(documents(spark, rows), spark.createDataFrame([(k,) for k in range(0, 40, 2)], "doc_id long")).collect()}
+    mean = lambda ids: sum(got[k] for k in ids) / len(ids)
+    assert abs(mean(range(0, 40, 2)) - mean(range(1, 40, 2))) < 0.05
+    assert got[100] > got[102] + 1 and got[100] == got[103]
