@@ -6,8 +6,13 @@ ledger does not hold are scanned, one copy of each blob; findings belong to blob
 Positions come from Java's own leftmost, non-overlapping matches: ``split`` gives the texts between the matches and
 ``regexp_extract_all`` the matches, so a running sum of their lengths gives where each begins (code points).
 
-Null texts are empty ones, which hold nothing; null paths are kept; repeated rows each get their blob's findings; an
-empty table gives none; other columns stay out.
+The ledger's path is an argument or the session's ``spark.runloom.ledger``: a later run over it scans what is new alone.
+Without either, a run has a ledger of its own.  Findings by blob are written before they are joined, so that a small table
+of them is broadcast and, of a large one, adaptive plans can split the rows of a blob with very many paths.
+
+Null texts are empty ones, which hold nothing; null paths are kept; repeated rows each get their blob's findings, and one
+of them is scanned; spans that begin together are in the order of the rules; texts of any length are matched whole; an
+empty table gives none; other columns, whatever their names, stay out.
 """
 
 from __future__ import annotations
@@ -61,15 +66,16 @@ def _matches(text: Column, rule: Rule, number: int, wanted: Column) -> Column:
     zipped = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("gap"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
+        *([F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value")] if rule.group else []),
     )
     found = F.transform(
         F.filter(zipped, lambda x: x["match"].isNotNull()),
         lambda x, i: F.struct(
-            F.lit(number).alias("rule"), i.alias("at"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["match"]).cast("long").alias("size"), (F.length(x["value"]) >= rule.least).alias("ok")
+            F.lit(number).alias("rule"), i.alias("at"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["match"]).cast("long").alias("size"),
+            (F.length(x["value" if rule.group else "match"]) >= rule.least).alias("ok"),
         ),
-    )
-    return F.when(wanted & text.rlike(rule.hint or rule.pattern), found)
+    )
+    return F.when(wanted, found)
 
 
 class Ledger:
@@ -92,38 +98,48 @@ class Ledger:
         return self.spark.read.parquet(f"{self.path}/findings")
 
     def unseen(self, versions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-        """(blob, path, todo): one path of each blob that some rule version has not seen, and those rules' keys."""
+        """(blob, path, times, todo): one path of each blob that some rule version has not seen, how many rows have both,
+        and those rules' keys."""
         every = F.array(*[F.lit(r.key) for r in rules])
-        blobs = versions.groupBy("blob").agg(F.min("path").alias("path"))
+        rows = versions.groupBy("blob", "path").agg(F.count("*").alias("times"))
+        blobs = rows.groupBy("blob").agg(F.min(F.struct("path", "times")).alias("x")).select("blob", "x.*")
         seen = self.scanned().groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
-        return blobs.join(seen, "blob", "left").select("blob", "path", todo.alias("todo")).where(F.size("todo") > 0)
-
-    def update(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> int:
-        """Scans what is unseen in versions (path, text, blob) and appends it.  Findings go first: after a failure in
-        between, the pairs are scanned again, and readers take findings as a set."""
-        first = common.staged(self.unseen(versions.select("path", "blob"), rules), "unseen")
-        try:
+        return blobs.join(seen, "blob", "left").select("blob", "path", "times", todo.alias("todo")).where(F.size("todo") > 0)
+
+    def update(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, names: DataFrame | None = None) -> int:
+        """Scans what is unseen in versions (path, text, blob) and appends it; names: their path and blob alone, if they
+        are written already.  Findings go first: after a failure in between, the pairs are scanned again, and readers take
+        findings as a set.  Gives the number of blobs scanned."""
+        with common.scratch(self.spark) as stage:
+            first = stage(self.unseen(versions.select("path", "blob") if names is None else names, rules), "unseen")
+            sums = first.agg(F.count("*").alias("n"), F.coalesce(F.max("times"), F.lit(0)).alias("most")).first()
+            if not sums.n:
+                return 0
             rows = versions.join(first.hint("shuffle_hash"), ["blob", "path"])
-            cells = [_matches(F.col("text"), r, k, F.array_contains("todo", r.key)) for k, r in enumerate(rules)]
-            found = rows.select("blob", F.explode(F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<struct<rule:int,at:int,gap:bigint,size:bigint,ok:boolean>>")) for c in cells]))).alias("m")).select("blob", "m.*").distinct()
+            if sums.most > 1:
+                rows = rows.where("times = 1").union(rows.where("times > 1").dropDuplicates(["blob", "path"]))
+            # Each distinct hint is looked for once a text, whatever the number of rules that have it.
+            hints = list(dict.fromkeys(r.hint or r.pattern for r in rules))
+            rows = rows.select("blob", "text", "todo", F.array(*[F.col("text").rlike(h) for h in hints]).alias("hinted"))
+            none = F.array().cast("array<struct<rule:int,at:int,gap:bigint,size:bigint,ok:boolean>>")
+            cells = [F.coalesce(_matches(F.col("text"), r, k, F.get("hinted", F.lit(hints.index(r.hint or r.pattern))) & F.array_contains("todo", r.key)), none) for k, r in enumerate(rules)]
+            found = rows.select("blob", F.explode(F.flatten(F.array(*cells))).alias("m")).select("blob", "m.*")
             before = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
             keys, kinds = F.array(*[F.lit(r.key) for r in rules]), F.array(*[F.lit(r.kind) for r in rules])
             placed = found.withColumn("start", before).where("ok")
             placed.select("blob", keys[F.col("rule")].alias("rule"), kinds[F.col("rule")].alias("kind"), F.col("rule").alias("number"), "start", (F.col("start") + F.col("size")).alias("stop")).write.mode("append").parquet(f"{self.path}/findings")
             first.select("blob", F.explode("todo").alias("rule")).write.mode("append").parquet(f"{self.path}/scanned")
-            return first.count()
-        finally:
-            common.remove(self.spark, common.path_of(first)) if first.inputFiles() else None
+            return sums.n
 
 
 def versions(docs: DataFrame) -> DataFrame:
-    """(path, text, blob): a document's identity is its path; blob is the SHA-256 of the text."""
-    return common.documents(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("path"), "text", F.sha2("text", 256).alias("blob"))
+    """(doc_id, path, text, blob): a document's identity is its path; blob is the SHA-256 of the text."""
+    return common.documents(docs).select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("path"), "text", F.sha2("text", 256).alias("blob"))
 
 
-def report(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row: findings of its text's blob."""
+def report(rows: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row (doc_id, blob): findings of its blob."""
     known = ledger.findings().where(F.col("rule").isin([r.key for r in rules])).distinct()
     span = F.concat_ws(":", "kind", "start", "stop")
     lists = known.select("blob", "kind", "number", F.struct("start", "number", span.alias("span")).alias("s"))
@@ -134,8 +150,7 @@ def report(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) ->
         F.sort_array(F.collect_list("s")).alias("all"),
     )
     joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: s["span"]))
-    of_blob = of_blob.select("blob", *[f"n_{k}" for k in base], F.sha2(joined("base"), 256).alias("base_sha256"), joined("all").alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    of_blob = common.staged(of_blob.select("blob", *[f"n_{k}" for k in base], F.sha2(joined("base"), 256).alias("base_sha256"), joined("all").alias("spans")), "by-blob")
     return rows.join(of_blob, "blob", "left").select(
         "doc_id",
         *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in base],
@@ -144,25 +159,32 @@ def report(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) ->
     )
 
 
+def ledger_of(spark: SparkSession, path: str | None = None) -> Ledger:
+    return Ledger(spark, path or spark.conf.get("spark.runloom.ledger", None) or common.new_path(spark, "ledger"))
+
+
 def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Brings the ledger up to date with docs and reports on all of them."""
-    ledger = Ledger(docs.sparkSession, ledger_path or common.new_path(docs.sparkSession, "ledger"))
-    ledger.update(versions(docs), rules)
-    return report(docs, ledger, rules)
+    ledger = ledger_of(docs.sparkSession, ledger_path)
+    every = versions(docs.select("doc_id", "text"))
+    # Hashes are taken once for the names and once where a text goes to its scanner.
+    names = common.staged(every.select("doc_id", "path", "blob"), "names")
+    ledger.update(every.drop("doc_id"), rules, names)
+    return report(names.select("doc_id", "blob"), ledger, rules)
 
 
 def redact(docs: DataFrame, mark: str = "<secret>", ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every finding, overlapping ones together, replaced by ``mark``; n_chars, if docs has it, follows."""
-    ledger = Ledger(docs.sparkSession, ledger_path or common.new_path(docs.sparkSession, "ledger"))
-    ledger.update(versions(docs), rules)
+    ledger = ledger_of(docs.sparkSession, ledger_path)
+    ledger.update(versions(docs.select("doc_id", "text")).drop("doc_id"), rules)
     found = ledger.findings().where(F.col("rule").isin([r.key for r in rules])).select("blob", "start", "stop").distinct()
     order = Window.partitionBy("blob").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
     joined = marked.withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("blob", "n").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    of_blob = joined.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    of_blob = common.staged(joined.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts")), "cuts")
     text = F.col(common.place(docs, "text"))
-    rows = common.numbered(docs).withColumn("blob", F.sha2(F.coalesce(text, F.lit("")), 256)).join(of_blob.hint("shuffle_hash"), "blob", "left")
+    rows = common.numbered(docs).withColumn("blob", F.sha2(F.coalesce(text, F.lit("")), 256)).join(of_blob, "blob", "left")
     before = F.transform("cuts", lambda c, i: text.substr(F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["stop"]) + 1, c["start"] - F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["stop"])))
     last = F.element_at("cuts", -1)["stop"]
     clean = F.concat(F.array_join(before, mark), F.lit(mark), text.substr(last + 1, F.length(text)))

@@ -43,7 +43,24 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     newer = (*secrets.RULES[:2], secrets.Rule("hex", r"[0-9a-f]+", 8, version=2))
     assert ledger.update(secrets.versions(more), newer) == 2
     assert ledger.scanned().count() == 3 * len(secrets.RULES) + 2
-    assert {r.doc_id for r in secrets.report(more, ledger).where("spans <> ''").collect()} == {1, 4}
+    assert {r.doc_id for r in secrets.report(secrets.versions(more).select("doc_id", "blob"), ledger).where("spans <> ''").collect()} == {1, 4}
+
+
+def test_a_ledger_of_the_session_outlives_a_query(spark, tmp_path):
+    path = f"file://{tmp_path}/kept"
+    spark.conf.set("spark.runloom.ledger", path)
+    try:
+        rows = [(1, TEXTS[0]), (2, "plain"), (2, "plain"), (1, TEXTS[0])]
+        assert secrets.scan(documents(spark, rows)).count() == 4
+        ledger = secrets.Ledger(spark, path)
+        before = ledger.findings().count()
+        assert ledger.scanned().select("blob").distinct().count() == 2 and before == len(spans(TEXTS[0]))
+        got = sorted(map(tuple, secrets.scan(documents(spark, [*rows, (3, TEXTS[0]), (4, TEXTS[1])])).collect()))
+        assert got == sorted(want(*r) for r in [*rows, (3, TEXTS[0]), (4, TEXTS[1])])
+        assert ledger.update(secrets.versions(documents(spark, rows))) == 0
+        assert secrets.Ledger(spark, path).findings().count() == before + len(spans(TEXTS[1]))
+    finally:
+        spark.conf.unset("spark.runloom.ledger")
 
 
 def test_redaction(spark):
