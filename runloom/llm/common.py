@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or where that is unset (tests, one machine) one of our own."""
+    """The folder all machines share: spark.checkpoint.dir, or where that is unset on one machine (tests) one of our own."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.runloom.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         known = f"file://{tempfile.mkdtemp(prefix='runloom-')}"
         spark.conf.set("spark.runloom.dir", known)
     return known.rstrip("/")

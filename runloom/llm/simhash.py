@@ -6,8 +6,10 @@ a key, links are verified by Hamming distance and only a spanning forest of them
 than ``most`` fingerprints is dealt over chunks, and every pair of chunks is compared in a task of its own, so a
 task's memory is bounded and no link is lost.
 
-Null and empty texts have fingerprint zero and are linked like others; null ids get a fingerprint and the component of
-their fingerprint's other rows; repeated rows are one vertex; an empty table gives no rows; other columns stay out.
+Null and empty texts have fingerprint zero and are linked like others; a vertex is a fingerprint, so rows without an id are
+linked too, repeated rows are one, and rows that repeat an id with another text are judged each for itself; of rows of one
+id and fingerprint the least text comes first.  A text's shingles are hashed one by one and counted in pieces.  An empty
+table gives no rows; other columns, whatever their names, stay out of ``near_duplicates`` and pass through ``keep``.
 """
 
 from __future__ import annotations
@@ -108,35 +110,37 @@ def links(reps: DataFrame, bits: int = 3, most: int = 1024) -> DataFrame:
 
 
 def _grouped(prints: DataFrame, bits: int) -> DataFrame:
-    """(fp, id, component_id) of every distinct fingerprint; id is its least document."""
+    """(fp, id, component) of every distinct fingerprint; id is its least document, component the least fingerprint linked."""
     reps = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    found = components(links(reps, bits)).withColumnRenamed("component", "linked")
-    return reps.join(found, "id", "left").select("fp", "id", F.coalesce("linked", "id").alias("component_id"))
+    found = components(links(reps.select("fp", F.col("fp").alias("id")), bits)).select(F.col("id").alias("fp"), "component")
+    return reps.join(found, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept) of every row; component_id is the least id that links reach; kept is
     true on the row whose id that is."""
     prints = common.staged(fingerprints(docs, width), "fingerprints")
-    out = prints.join(_grouped(prints, bits).drop("id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = common.staged(_grouped(prints, bits), "groups")
+    # Written, so that the join knows its sizes and can split a fingerprint with very many rows.
+    least = groups.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_print = common.staged(groups.join(least, "component").select("fp", "component_id"), "of-print")
+    out = prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
-    """One row of docs for each component, with all its columns: that of the least id, one of its repeats.  Rows
-    without an id stay, one for each fingerprint, if no row with an id has it."""
+    """One row of docs for each component, with all its columns: that of the least id (a row without an id only where no
+    row has one), then of the least fingerprint, then of the least text."""
     prints = common.staged(fingerprints(docs, width), "fingerprints")
-    keepers = _grouped(prints, bits).where("id IS NULL OR id = component_id").select(F.col("id").alias("keeper"))
+    first = _grouped(prints, bits).groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("x"))
+    keepers = common.staged(first.select(F.col("x.id").alias("keeper"), F.col("x.fp").alias("kept_fp")), "keepers")
     own, text = common.place(docs, "doc_id"), common.place(docs, "text")
-    rows = common.numbered(docs)
-    chosen = rows.where(F.col(own).isNotNull()).join(keepers.where("keeper IS NOT NULL").distinct().hint("shuffle_hash"), F.col(own).cast("long") == F.col("keeper")).drop("keeper")
-    first = Window.partitionBy(own).orderBy(F.xxhash64(text), text)
-    chosen = chosen.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    lost = rows.where(F.col(own).isNull())
-    alone = common.staged(prints.groupBy("fp").agg(F.max("doc_id").alias("id")).where("id IS NULL").select("fp"), "alone")
-    marked = lost.withColumn("fp", _fingerprint_column(width)(text)).join(alone, "fp", "left_semi")
-    marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64(text), text))).where("nth = 1").drop("nth", "fp")
-    return common.named(chosen.unionByName(marked), docs)
+    rows, of = common.numbered(docs), _fingerprint_column(width)
+    known = rows.join(keepers.where("keeper IS NOT NULL").hint("shuffle_hash"), F.col(own).cast("long") == F.col("keeper")).withColumn("fp", of(text))
+    lost = rows.where(F.col(own).isNull()).withColumn("fp", of(text)).join(keepers.where("keeper IS NULL"), F.col("fp") == F.col("kept_fp"))
+    chosen = known.where("fp = kept_fp").unionByName(lost)
+    order = [F.xxhash64(text), F.col(text), *[F.col(c).cast("string") for c in rows.columns if c != text]]
+    return common.named(chosen.withColumn("nth", F.row_number().over(Window.partitionBy("kept_fp").orderBy(*order))).where("nth = 1"), docs)
 
 
 def _fingerprint_column(width: int):

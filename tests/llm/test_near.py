@@ -89,6 +89,14 @@ def test_rows_without_ids(spark):
     assert len(simhash.near_duplicates(documents(spark, rows)).collect()) == 5
 
 
+def test_one_id_with_unlike_texts(spark):
+    """No text is lost that is like no other, whatever its id."""
+    words = [f"word{k}" for k in range(200)]
+    one, two = " ".join(words[:100]), " ".join(words[100:])
+    kept = simhash.keep(documents(spark, [(1, one), (1, two), (1, two), (2, one), (None, two)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (1, two)])
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, e, g, 1, "x") for i, e, g in rows], "vec_id long, embedding array<float>, label int, weight int, vec string")
 
