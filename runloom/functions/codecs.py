@@ -1,6 +1,6 @@
 """Lossless block codecs over arrays of small integers; no Spark.
 
-``bw94``: move-to-front ranks, zero-run code, adaptive order-0 range coder.  ``bcm``: bits of each symbol by mixed
+``bw94``: move-to-front ranks, zero-run code, adaptive order-0 range coder of 64 bits.  ``bcm``: bits of each symbol by mixed
 contexts and a binary arithmetic coder.  A block is its fused transform and aux codes, each coded by one of them.
 """
 
@@ -15,14 +15,18 @@ from . import tunnels
 
 
 class Frequencies:
-    """Counts of symbols, all starting at one, with cumulated counts in a Fenwick tree."""
-
-    def __init__(self, sigma: int):
-        self.n, self.total = sigma, sigma
-        self.tree = [0] * (sigma + 1)
-        for i in range(1, sigma + 1):
-            self.tree[i] += 1
-            if (up := i + (i & -i)) <= sigma:
+    """Counts of symbols, all starting at one, with cumulated counts in a Fenwick tree.  When their sum reaches ``limit``
+    they are halved, none below one, so coders divide by small totals whatever the length of a block."""
+
+    def __init__(self, sigma: int, limit: int = 1 << 16):
+        self.n, self.limit = sigma, max(limit, 4 * sigma)
+        self.counts = [1] * sigma
+        self._build()
+
+    def _build(self) -> None:
+        self.total, self.tree = sum(self.counts), [0, *self.counts]
+        for i in range(1, self.n + 1):
+            if (up := i + (i & -i)) <= self.n:
                 self.tree[up] += self.tree[i]
 
     def below(self, s: int) -> int:
@@ -43,6 +47,11 @@ class Frequencies:
         return at, low
 
     def add(self, s: int) -> None:
+        self.counts[s] += 1
+        if self.total + 1 >= self.limit:
+            self.counts = [max(1, c >> 1) for c in self.counts]
+            self._build()
+            return
         i = s + 1
         while i <= self.n:
             self.tree[i] += 1
@@ -54,68 +63,72 @@ TOP, BOTTOM = 1 << 32, 1 << 24
 
 
 class RangeEncoder:
-    """Byte-wise range coder; a carry runs back into bytes already written."""
+    """Byte-wise range coder with a register of 32 or 64 bits; a carry runs back into bytes already written."""
 
-    def __init__(self):
-        self.low, self.range, self.out = 0, TOP - 1, bytearray()
+    def __init__(self, width: int = 32):
+        self.width, self.top, self.bottom = width, 1 << width, 1 << (width - 8)
+        self.low, self.range, self.out = 0, self.top - 1, bytearray()
 
     def encode(self, start: int, size: int, total: int) -> None:
         part = self.range // total
+        if not part:
+            raise ValueError("counts are too large for the coder's register")
         self.low += part * start
         self.range = part * size
-        while self.range < BOTTOM:
+        while self.range < self.bottom:
             self._shift()
             self.range <<= 8
 
     def _shift(self) -> None:
-        if self.low >= TOP:
-            self.low -= TOP
+        if self.low >= self.top:
+            self.low -= self.top
             i = len(self.out) - 1
             while self.out[i] == 255:
                 self.out[i] = 0
                 i -= 1
             self.out[i] += 1
-        self.out.append(self.low >> 24)
-        self.low = (self.low & (BOTTOM - 1)) << 8
+        self.out.append(self.low >> (self.width - 8))
+        self.low = (self.low & (self.bottom - 1)) << 8
 
     def close(self) -> bytes:
-        for _ in range(4):
+        for _ in range(self.width // 8):
             self._shift()
         return bytes(self.out)
 
 
 class RangeDecoder:
-    def __init__(self, data: bytes):
-        self.data, self.at, self.range = data, 4, TOP - 1
-        self.code = int.from_bytes(data[:4].ljust(4, b"\0"), "big")
+    def __init__(self, data: bytes, width: int = 32):
+        self.data, self.at, self.bottom, self.range = data, width // 8, 1 << (width - 8), (1 << width) - 1
+        self.code = int.from_bytes(data[: self.at].ljust(self.at, b"\0"), "big")
 
     def value(self, total: int) -> int:
         self.part = self.range // total
+        if not self.part:
+            raise ValueError("counts are too large for the coder's register")
         return min(total - 1, self.code // self.part)
 
     def remove(self, start: int, size: int) -> None:
         self.code -= self.part * start
         self.range = self.part * size
-        while self.range < BOTTOM:
+        while self.range < self.bottom:
             self.code = self.code << 8 | (self.data[self.at] if self.at < len(self.data) else 0)
             self.at += 1
             self.range <<= 8
 
 
-def range_encode(symbols: list[int], sigma: int) -> bytes:
-    f, out = Frequencies(sigma), RangeEncoder()
+def range_encode(symbols: list[int], sigma: int, width: int = 64, limit: int = 1 << 16) -> bytes:
+    f, out = Frequencies(sigma, limit), RangeEncoder(width)
     for s in symbols:
-        low = f.below(s)
-        out.encode(low, f.below(s + 1) - low, f.total)
+        out.encode(f.below(s), f.counts[s], f.total)
         f.add(s)
     return out.close()
 
 
-def range_decode(data: bytes, sigma: int, n: int) -> list[int]:
-    f, source, out = Frequencies(sigma), RangeDecoder(data), []
+def range_decode(data: bytes, sigma: int, n: int, width: int = 64, limit: int = 1 << 16) -> list[int]:
+    f, source, out = Frequencies(sigma, limit), RangeDecoder(data, width), []
     for _ in range(n):
         s, low = f.find(source.value(f.total))
-        source.remove(low, f.below(s + 1) - low)
+        source.remove(low, f.counts[s])
         f.add(s)
         out.append(s)
     return out

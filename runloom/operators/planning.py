@@ -167,12 +167,13 @@ def codec_roundtrip(blocks: DataFrame, strategy: str, stage: str) -> DataFrame:
 
 
 def coder_roundtrip(blocks: DataFrame, kind: str) -> DataFrame:
-    """kind: range, arith32 or arith64 over bytes; index: the compacted index through a stage; two_bits: aux codes; container: pieces of 100 bytes."""
+    """kind: range32, range64, arith32 or arith64 over bytes; index: the compacted index through a stage; two_bits: aux codes; container: pieces of 100 bytes."""
 
     def of(text: str):
         data = text.encode()
-        if kind == "range":
-            back = bytes(codecs.range_decode(codecs.range_encode(list(data), 256), 256, len(data)))
+        if kind.startswith("range"):
+            width = int(kind[5:])
+            back = bytes(codecs.range_decode(codecs.range_encode(list(data), 256, width), 256, len(data), width))
         elif kind.startswith("arith"):
             width = int(kind[5:])
             back = bytes(codecs.arith_decode(codecs.arith_encode(list(data), 256, width), 256, len(data), width))

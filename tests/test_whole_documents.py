@@ -31,11 +31,11 @@ def spectrum(text):
 
 def test_orders_up_to_100(spark, folder):
     got, want = {}, {i: spectrum(t) for i, t in TEXTS.items() if t}
-    for r in QUERIES["edge_spectrum_all_orders"](spark, folder).collect():
+    for r in QUERIES["edge_spectrum"](spark, folder).collect():
         got.setdefault(r.block, {})[r.k] = r.edges
     assert {i: got[i] for i in want} == want and max(want[1]) == 100
-    info = {(r.block, r.k): (r.edges, r.fewest, r.most) for r in QUERIES["edge_info_all_orders"](spark, folder).collect()}
-    share = {(r.block, r.k): r.share for r in QUERIES["edge_matrix_all_orders"](spark, folder).collect()}
+    info = {(r.block, r.k): (r.edges, r.fewest, r.most) for r in QUERIES["edge_info"](spark, folder).collect()}
+    share = {(r.block, r.k): r.share for r in QUERIES["edge_matrix"](spark, folder).collect()}
     for i, edges in want.items():
         low, high = min(edges.values()), max(edges.values())
         for k, e in edges.items():
