@@ -92,7 +92,7 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def parts(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text each."""
     texts = batch.column(batch.schema.get_field_index(column))
     at, total, sizes = 0, 0, pc.binary_length(texts).to_pylist()

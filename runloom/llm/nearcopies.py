@@ -112,6 +112,7 @@ def links(keyed: DataFrame, texts: DataFrame, most: int = 1024) -> DataFrame:
                         known[i] = shingles(t.encode())
                 for x, y in forest([known[i] for i in ids], own[s:e] if c[s] != d[s] else None):
                     a.append(ids[x]), b.append(ids[y])
+            del cols, text, known
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return common.dealt(keyed, ["t", "k"], "v", most, texts).mapInArrow(run, "a long, b long").distinct()

@@ -43,7 +43,7 @@ PRIOR = 20
 #: Both tails of a normal distribution beyond five standard deviations.
 TAIL = math.erfc(5 / math.sqrt(2))
 #: Bins for each doubling of the squared distance.
-FINE = 256
+FINE = 48
 
 
 def features() -> dict[str, tuple[Column, float]]:
@@ -243,8 +243,8 @@ def fit(stats: DataFrame, share: float = 0.75, weight: float = PRIOR, tail: floa
         begin = ("", [float(q[1]) for q in quartiles], [float(spread[j]) if j == k else 0.0 for j, k in _pairs(p)])
         prior = spark.createDataFrame([begin], "up string, m array<double>, t array<double>")
         for keys in (("lang",), ("lang", "source")):
-            above = group(*keys[:-1]) if keys[:-1] else F.lit("")
-            found = estimates(passed.select(group(*keys).alias("g"), above.alias("up"), *of), prior, noise, weight, share, tail=tail)
+            above = group(*keys[:-1]) if keys[:-1] else F.expr("left(lang, 0)")
+            found = estimates(passed.select(group(*keys).alias("g"), F.coalesce(above, F.lit("")).alias("up"), *of), prior, noise, weight, share, tail=tail)
             prior = found.select(F.col("g").alias("up"), "m", "t")
         return found
 

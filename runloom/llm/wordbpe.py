@@ -304,7 +304,7 @@ class Decoder:
 class WordBPE:
     """Encodes and decodes texts by a word-end BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, streaming: bool = True, most_words: int = 200_000):
+    def __init__(self, path: str, streaming: bool = True, most_words: int = 150_000):
         self.path, self.most_words = path, most_words
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
@@ -361,7 +361,7 @@ class WordBPE:
     def encode(self, text: str | None) -> np.ndarray:
         return next(iter(self.encode_all(pa.array([text], pa.string()))))
 
-    def encode_all(self, texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: pa.Array, most_bytes: int = 1_000_000) -> Iterator[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
         held = []
         for ids, last in self.emitted(texts, most_bytes):
@@ -370,7 +370,7 @@ class WordBPE:
                 yield held[0] if len(held) == 1 else np.concatenate(held)
                 held = []
 
-    def emitted(self, texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[np.ndarray, bool]]:
+    def emitted(self, texts: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[np.ndarray, bool]]:
         """Ids as they come, and whether they end a text; works through a few megabytes at a time.  A longer text is read
         in pieces that end before a space or line feed, over which no word goes."""
         texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string())
