@@ -42,6 +42,8 @@ LEAST_WORDS = 50
 PRIOR = 20
 #: Both tails of a normal distribution beyond five standard deviations.
 TAIL = math.erfc(5 / math.sqrt(2))
+#: Estimates (some 400 bytes each) up to this number are sent to all tasks; beyond, adaptive joins split the rows of a large group.
+MOST_BROADCAST = 50_000
 #: Bins for each doubling of the squared distance.
 FINE = 48
 
@@ -166,9 +168,14 @@ def _solved(sums: DataFrame, prior: DataFrame, noise: list[float], factor: float
     return joined.mapInArrow(run, ESTIMATE)
 
 
+def _sized(estimates: DataFrame) -> DataFrame:
+    """A written table of estimates, marked for broadcast if it has at most MOST_BROADCAST rows."""
+    return F.broadcast(estimates) if estimates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else estimates
+
+
 def _nearest(rows: DataFrame, current: DataFrame, share: float, p: int) -> DataFrame:
     """(g, up, start, h, s.., p..): sums over the nearest ``share`` of each group's rows (g, up, x..), by each of its estimates."""
-    near = rows.join(current.select("g", "start", "m", "i"), "g").selectExpr("g", "up", "start", *[f"x{j}" for j in range(p)], f"cast(floor(log2(greatest({_squared(p)}, 1e-12D)) * {FINE}) AS int) AS bin")
+    near = rows.join(_sized(current.select("g", "start", "m", "i")), "g").selectExpr("g", "up", "start", *[f"x{j}" for j in range(p)], f"cast(floor(log2(greatest({_squared(p)}, 1e-12D)) * {FINE}) AS int) AS bin")
     binned = near.groupBy("g", "up", "start", "bin").agg(*_sums(p))
     upto = binned.withColumns({"upto": F.expr("sum(h) OVER (PARTITION BY g, start ORDER BY bin ROWS UNBOUNDED PRECEDING)"), "whole": F.expr(f"ceil({share}D * sum(h) OVER (PARTITION BY g, start) - 1e-9D)")})
     taken = upto.withColumn("w", F.expr("greatest(0D, least(1D, (whole - (upto - h)) / h))")).where("w > 0")
@@ -202,7 +209,7 @@ def estimates(rows: DataFrame, prior: DataFrame, noise: list[float], weight: flo
         current = current.drop("fell")
         if reweigh:
             near = chi2_quantile(0.975, p)
-            inside = rows.join(current.select("g", "m", "i"), "g").where(f"{_squared(p)} <= {near}D").withColumn("start", F.lit(0))
+            inside = rows.join(_sized(current.select("g", "m", "i")), "g").where(f"{_squared(p)} <= {near}D").withColumn("start", F.lit(0))
             again = _solved(inside.groupBy("g", "up", "start").agg(*_sums(p)), prior, noise, 0.975 / chi2_cdf(near, p + 2), weight)
             # A group none of whose rows is so near keeps what it has.
             cells = ", ".join(c for c in current.columns if c != "g")
@@ -254,7 +261,7 @@ def verdict(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     of = features()
     named = rows.select("*", *[c.cast("double").alias(n) for n, (c, _) in of.items()], base_failed().alias("base_failed"), group("lang", "source").alias("g"))
     # A row that passed has an estimate, as its group has at least this row.
-    out = named.join(fitted.select("g", "m", "i", "cut"), "g", "left").withColumn("d", F.expr(f"CASE WHEN NOT base_failed THEN {_squared(len(of))} END"))
+    out = named.join(_sized(fitted.select("g", "m", "i", "cut")), "g", "left").withColumn("d", F.expr(f"CASE WHEN NOT base_failed THEN {_squared(len(of))} END"))
     return out.select(*rows.columns, "base_failed", F.sqrt("d").alias("distance"), F.expr("coalesce(NOT base_failed AND d <= cut, false)").alias("kept"))
 
 

@@ -176,7 +176,7 @@ def verified(rows: DataFrame, classes: DataFrame, least: float, shared: int, sli
     return common.dealt(rows, ["label", "dim", "list"], "rep", most, classes.select("rep", "vec")).mapInArrow(run, "a long, b long, n long")
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.98, near: int = 8, shared: int = 3, slip: int = 5, least_pivots: int = 128, most_pivots: int = 16_384, sample: int = 4096, most: int = 1024) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.98, near: int = 8, shared: int = 3, slip: int = 5, least_pivots: int = 128, most_pivots: int = 16_384, sample: int = 4096, most: int = 512) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.  Pivots, ``number_of_pivots`` of them, are chosen from
     ``sample`` classes or twice as many as there are pivots, those with the least hash; every class is in the index.
     Beyond ``most_pivots``, which bounds what workers hold, lists only get longer."""
