@@ -1,10 +1,12 @@
 """How much work the block functions do, and that results stay what they were."""
 
 import lzma
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from runloom.functions import sequence as seq
 from runloom.functions import tunnels
 from runloom.operators import planning as P
 
@@ -45,3 +47,31 @@ def test_small_xz_dictionary_gives_the_same_size():
         data = text.encode()
         assert len(P.xz_best(data)) == len(lzma.compress(data, preset=9 | lzma.PRESET_EXTREME))
         assert lzma.decompress(P.xz_best(data)) == data
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_orders_sort_the_text_once(monkeypatch, text):
+    sorts = []
+    for name in ("unique", "argsort"):
+        real = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda x, *a, real=real, **b: sorts.append(len(x)) or real(x, *a, **b))
+    x = seq.codes(text)
+    assert len(seq.edge_counts(x, 100)) == min(100, len(x))
+    assert sum(sorts) <= len(x) * 12
+    t = text + chr(1)
+    for k, nodes, edges in seq.edge_counts(x, 100)[::7]:
+        small, large = (Counter((t * (k // len(t) + 3))[i : i + w] for i in range(len(t))) for w in (k, k + 1))
+        assert (nodes, edges) == (len(small), sum(1 if small[w[:-1]] == c == small[w[1:]] else c for w, c in large.items()))
+
+
+def test_bounds_of_k_mers():
+    for text in TEXTS:
+        x = seq.codes(text)
+        sa = seq.suffix_array(x)
+        last = seq.bwt(x, sa)
+        for k in {1, min(3, len(x)), min(40, len(x))}:
+            bound, inner, outer = tunnels.kmer_bits(x, sa, last, k)
+            wrapped = np.concatenate([x] * (2 + k // len(x)))
+            mers = [tuple(wrapped[i : i + k]) for i in sa]
+            assert bound.tolist() == [int(not i or mers[i] != mers[i - 1]) for i in range(len(x))]
+            assert "".join(seq.letters(tunnels.Fused.of(last, inner, outer).invert())) == text
