@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from runloom.functions import codecs
 from runloom.functions import sequence as seq
 from runloom.functions import tunnels
 from runloom.operators import planning as P
@@ -18,6 +19,7 @@ def block_function(monkeypatch, make):
     held = {}
     with monkeypatch.context() as m:
         m.setattr(P, "per_block", lambda blocks, columns, of: held.update(of=of))
+        m.setattr(P, "per_many", lambda blocks, columns, of: held.update(of=lambda text: of([text])[0]), raising=False)
         make()
     return held["of"]
 
@@ -75,3 +77,24 @@ def test_bounds_of_k_mers():
             mers = [tuple(wrapped[i : i + k]) for i in sa]
             assert bound.tolist() == [int(not i or mers[i] != mers[i - 1]) for i in range(len(x))]
             assert "".join(seq.letters(tunnels.Fused.of(last, inner, outer).invert())) == text
+
+
+def test_mixing_coders_side_by_side_are_the_plain_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    for few in (2, 20):
+        monkeypatch.setattr(codecs, "FEW", few)
+        jobs = [(np.minimum(rng.geometric(0.2, n), (1 << w) - 1), w) for w in (1, 2, 6, 8) for n in (0, 1, 90, 40, 200, *range(30))]
+        coded = codecs.mix_many(jobs)
+        assert coded == [codecs.mix_encode(x.tolist(), w) for x, w in jobs]
+        assert codecs.mix_many([(c, w, len(x)) for c, (x, w) in zip(coded, jobs, strict=True)], decode=True) == [x.tolist() for x, _ in jobs]
+
+
+def test_many_blocks_at_once_are_those_of_each():
+    for strategy in ("none", "best100"):
+        fused = [tunnels.fuse(t.encode().decode("latin-1"), strategy)[0] for t in TEXTS * 6]
+        coded = codecs.encode_mixed(fused)
+        assert coded == [codecs.encode_fused(f, "bcm") for f in fused]
+        for f, g in zip(fused, codecs.decode_mixed(coded), strict=True):
+            assert (f.symbols.tolist(), f.outer.tolist(), f.inner.tolist()) == (g.symbols.tolist(), g.outer.tolist(), g.inner.tolist())
+    with pytest.raises(ValueError):
+        codecs.decode_mixed([coded[0][:-1]])
