@@ -98,3 +98,15 @@ def test_many_blocks_at_once_are_those_of_each():
             assert (f.symbols.tolist(), f.outer.tolist(), f.inner.tolist()) == (g.symbols.tolist(), g.outer.tolist(), g.inner.tolist())
     with pytest.raises(ValueError):
         codecs.decode_mixed([coded[0][:-1]])
+
+
+def test_intervals_of_are_those_of_frequencies():
+    rng = np.random.default_rng(3)
+    for sigma, limit in ((1, 64), (7, 64), (200, 1 << 16), (40, 1000)):
+        for n in (0, 1, 63, 64, 65, 9000):
+            x, f, want = np.minimum(rng.geometric(0.1, n) - 1, sigma - 1), codecs.Frequencies(sigma, limit), []
+            for s in x.tolist():
+                want.append((f.below(s), f.counts[s], f.total))
+                f.add(s)
+            assert list(codecs.intervals_of(x, sigma, limit)) == want
+            assert codecs.range_decode(codecs.range_encode(x.tolist(), sigma, 64, limit), sigma, n, 64, limit) == x.tolist()
