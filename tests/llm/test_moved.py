@@ -15,7 +15,7 @@ def moved(spark):
 
 
 def test_texts_are_moved_a_few_times_only(spark):
-    """Twice all texts (those that meet are looked up among all, and what stays is chosen), those that meet a few times more."""
+    """All texts once, when what stays is chosen, and those that meet a few times more."""
     rng = np.random.default_rng(3)
     rows = []
     for k in range(300):
@@ -32,3 +32,10 @@ def test_texts_are_moved_a_few_times_only(spark):
 def test_keys_with_the_same_texts_meet_once(spark):
     keyed = spark.createDataFrame([(v, t, k) for t, k, vs in [(0, 5, (1, 2)), (1, 5, (1, 2)), (2, 7, (1, 2, 3)), (3, 7, (2, 3)), (4, 1, (4,))] for v in vs], "v long, t int, k long")
     assert sorted(map(tuple, nearcopies.shared(keyed).collect())) == [(0, 5, 1), (0, 5, 2), (2, 7, 1), (2, 7, 2), (2, 7, 3), (3, 7, 2), (3, 7, 3)]
+
+
+def test_texts_that_meet_are_found_either_way(spark):
+    texts = spark.createDataFrame([(v, f"t{v}") for v in (1, 2, 2, 3, 4)], "v long, text string")
+    met = spark.createDataFrame([(0, 0, v) for v in (1, 2, 2)], "t int, k long, v long")
+    for most in (0, 10):
+        assert sorted(map(tuple, nearcopies.meeting(texts, met, most).collect())) == [(1, "t1"), (2, "t2")]
